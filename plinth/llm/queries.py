@@ -1,6 +1,15 @@
 """The queries of this subpackage and the SQL they are held against."""
 
-from plinth.llm import quality
+from plinth.llm import line_dedup, mixing, quality, simhash
 
-QUERIES = {"op10_quality_rules": quality.query}
-ORACLES = {"op10_quality_rules": quality.ORACLE}
+QUERIES = {
+    "op1_line_dedup": line_dedup.query,
+    "op2_simhash": simhash.query,
+    "op3_source_mixing": mixing.query,
+    "op10_quality_rules": quality.query,
+}
+ORACLES = {
+    "op1_line_dedup": line_dedup.ORACLE,
+    "op3_source_mixing": mixing.ORACLE,
+    "op10_quality_rules": quality.ORACLE,
+}
