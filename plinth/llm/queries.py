@@ -1,15 +1,17 @@
 """The queries of this subpackage and the SQL they are held against."""
 
-from plinth.llm import line_dedup, mixing, quality, simhash
+from plinth.llm import line_dedup, mixing, quality, simhash, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_simhash": simhash.query,
     "op3_source_mixing": mixing.query,
+    "op8_url_filter": url_filter.query,
     "op10_quality_rules": quality.query,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op3_source_mixing": mixing.ORACLE,
+    "op8_url_filter": url_filter.ORACLE,
     "op10_quality_rules": quality.ORACLE,
 }
