@@ -64,6 +64,8 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.expr("size(__l) - size(array_distinct(__l))").cast("long").alias("n_dup_lines"),
         F.expr(_REPEATED).alias("n_repeat_words"),
     )
+    # Through a generator, so that no filter on the counts is pushed down into computing them again.
+    out = out.select(*docs.columns, F.inline(F.array(F.struct(*COUNTS))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed)
 
