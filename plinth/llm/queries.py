@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL they are held against."""
 
-from plinth.llm import bpe, langid, line_dedup, mixing, neighbours, quality, simhash, token_files, url_filter
+from plinth.llm import bpe, langid, licences, line_dedup, mixing, neighbours, quality, simhash, token_files, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_source_mixing": mixing.query,
     "op4_token_files": token_files.query,
     "op5_neighbours": neighbours.query,
+    "op6_licence_scan": licences.query,
     "op7_language_id": langid.query,
     "op8_url_filter": url_filter.query,
     "op9_bpe": bpe.query,
