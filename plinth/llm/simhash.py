@@ -162,7 +162,8 @@ def components(docs: DataFrame) -> DataFrame:
     named = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     names = linked.select("fp", "component").join(named, "component").select("fp", "component_id")
     names = own.alias("o").join(names.alias("n"), "fp", "left").select("fp", F.coalesce("n.component_id", "o.least").alias("component_id"))
-    return fps.join(names, "fp").select("doc_id", "fp", "component_id")
+    # Staged, so that the join is plain and may be split where one fingerprint has many documents.
+    return fps.join(checkpoint(names), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
