@@ -65,7 +65,7 @@ def codewords(n: int) -> np.ndarray:
     """One codeword of -1 and 1 for each of n languages."""
     if n <= EXHAUSTIVE:
         splits = range(1, 1 << (n - 1)) if n > 1 else []
-        return np.array([[1 if k and s >> (k - 1) & 1 else -1 for s in splits] for k in range(n)], np.float64).reshape(n, -1)
+        return np.array([[1 if k and s >> (k - 1) & 1 else -1 for s in splits] for k in range(n)], np.float64).reshape(n, len(splits))
     bits = MANY_BITS * int(np.ceil(np.log2(n)))
     rng = np.random.default_rng(17)
     best = max((rng.permuted(np.tile(np.arange(n)[:, None] % 2 * 2 - 1, bits), axis=0) for _ in range(50)), key=lambda c: min((c[i] != c[j]).sum() for i in range(n) for j in range(i)))
