@@ -254,16 +254,63 @@ def _self_crossing(e: np.ndarray, n: int) -> bool:
     return bool(back.any())
 
 
+def _meetings(a: np.ndarray, b: np.ndarray) -> tuple[set[tuple[float, float]], bool]:
+    """(points where segments of a meet segments of b; whether any two run along each other)."""
+    t, u, cross, off = _crossings(a, b)
+    i, j = np.nonzero((cross != 0) & (t >= -1e-12) & (t <= 1 + 1e-12) & (u >= -1e-12) & (u <= 1 + 1e-12))
+    points = a[i, :2] + t[i, j, None] * (a[i, 2:] - a[i, :2])
+    along = (cross == 0) & (off == 0)
+    for d in (0, 1):
+        lo, hi = np.minimum(a[:, None, d], a[:, None, d + 2]), np.maximum(a[:, None, d], a[:, None, d + 2])
+        low, high = np.minimum(b[None, :, d], b[None, :, d + 2]), np.maximum(b[None, :, d], b[None, :, d + 2])
+        flat = (lo == hi) & (low == high)
+        along &= np.where(flat, lo == low, np.minimum(hi, high) > np.maximum(lo, low))
+    return {tuple(x) for x in np.round(points, 9).tolist()}, bool(along.any())
+
+
+def _edges(r: np.ndarray) -> np.ndarray:
+    e = np.hstack([r[:-1], r[1:]])
+    return e[(e[:, :2] != e[:, 2:]).any(axis=1)]
+
+
+def _ring_ok(r: np.ndarray) -> bool:
+    e = _edges(r)
+    return bool(len(r) >= 4 and (r[0] == r[-1]).all() and np.isfinite(r).all() and len(e) >= 3 and not _self_crossing(e, len(e)) and _ring_area(r) > 0)
+
+
+def _connected_inside(rings: list[np.ndarray]) -> bool:
+    """Whether no two rings run along each other, and the points where rings meet form no cycle that cuts the inside in two."""
+    root = list(range(len(rings)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    at: dict[tuple[float, float], set[int]] = {}
+    for i in range(len(rings)):
+        for j in range(i):
+            points, along = _meetings(_edges(rings[i]), _edges(rings[j]))
+            if along or len(points) > 1:
+                return False
+            for x in points:
+                at.setdefault(x, set()).update((i, j))
+    for together in at.values():
+        first, *others = sorted(together)
+        for k in others:
+            if find(first) == find(k):
+                return False
+            root[find(k)] = find(first)
+    return True
+
+
 def is_valid(g: Geometry | None) -> bool:
-    """Rings closed, of four points or more and simple; holes within their shell; polygons that don't overlap."""
+    """Rings closed, of four points or more and simple; holes within their shell, apart, and leaving its inside connected; polygons that don't overlap."""
     if g is None:
         return False
     for p in g:
-        for r in p:
-            e = np.hstack([r[:-1], r[1:]])
-            e = e[(e[:, :2] != e[:, 2:]).any(axis=1)]
-            if len(r) < 4 or not (r[0] == r[-1]).all() or not np.isfinite(r).all() or len(e) < 3 or _self_crossing(e, len(e)) or _ring_area(r) == 0:
-                return False
+        if not all(map(_ring_ok, p)) or not _connected_inside(p):
+            return False
         shell = [[p[0]]]
         for k, hole in enumerate(p[1:], start=1):
             inner = [[hole]]
@@ -271,7 +318,11 @@ def is_valid(g: Geometry | None) -> bool:
                 return False
             if any(intersection_area(inner, [[h]]) > 1e-9 for h in p[k + 1 :]):
                 return False
-    return not any(intersection_area([g[i]], [g[j]]) > 1e-9 for i in range(len(g)) for j in range(i))
+    for i in range(len(g)):
+        for j in range(i):
+            if intersection_area([g[i]], [g[j]]) > 1e-9 or _meetings(segments([g[i]]), segments([g[j]]))[1]:
+                return False
+    return True
 
 
 def bad_holes(g: Geometry | None, polygons_only: bool = True) -> int:
@@ -288,18 +339,9 @@ def bad_holes(g: Geometry | None, polygons_only: bool = True) -> int:
     return count
 
 
-def repair(g: Geometry | None) -> Geometry | None:
-    """A valid geometry that covers the points of even-odd parity odd; None if nothing is left.
-
-    Edges are split at their crossings and the pieces that bound an odd region
-    on one side only are chained into rings; rings are nested by containment.
-    """
-    if g is None or is_valid(g):
-        return g
-    e = segments(g)
-    e = e[(e[:, :2] != e[:, 2:]).any(axis=1)]
-    if not len(e):
-        return None
+def _odd_pieces(g: Geometry) -> list[tuple[tuple, tuple]]:
+    """Edges split where they meet others; of pieces that lie on each other an odd number leaves one; each runs with the odd side on its left."""
+    e = _edges_of(g)
     t, u, cross, off = _crossings(e, e)
     pieces: dict[tuple, int] = {}
     for k in range(len(e)):
@@ -307,50 +349,75 @@ def repair(g: Geometry | None) -> Geometry | None:
         cuts = [0.0, 1.0, *t[k][(cross[k] != 0) & (t[k] > 0) & (t[k] < 1) & (u[k] >= 0) & (u[k] <= 1)]]
         for j in np.flatnonzero((cross[k] == 0) & (off[k] == 0)):
             cuts += [s for s in (((e[j, m : m + 2] - a) @ d) / (d @ d) for m in (0, 2)) if 0 < s < 1]
-        ends = [tuple(np.round(a + s * d, 9)) for s in np.unique(cuts)]
+        ends = [tuple(x) for x in np.round(a + np.unique(cuts)[:, None] * d, 9).tolist()]
         for p, q in zip(ends, ends[1:], strict=False):
             if p != q:
                 key = (min(p, q), max(p, q))
                 pieces[key] = pieces.get(key, 0) + 1
-    onward: dict[tuple, list[tuple]] = {}
+    out = []
     for (p, q), n in pieces.items():
         if n % 2:
-            onward.setdefault(p, []).append(q)
-            onward.setdefault(q, []).append(p)
-    rings = []
+            dx, dy = q[0] - p[0], q[1] - p[1]
+            left = contains_point(g, (p[0] + q[0]) / 2 - 1e-7 * dy, (p[1] + q[1]) / 2 + 1e-7 * dx)
+            out.append((p, q) if left else (q, p))
+    return out
+
+
+def _edges_of(g: Geometry) -> np.ndarray:
+    e = segments(g)
+    return e[(e[:, :2] != e[:, 2:]).any(axis=1)]
+
+
+def _signed_area(loop: list[tuple]) -> float:
+    r = np.array(loop) - np.array(loop[0])
+    return float((r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum()) / 2
+
+
+def _loops(pieces: list[tuple[tuple, tuple]]) -> list[list[tuple]]:
+    """Closed loops of directed pieces: at each point the sharpest turn to the left, and a loop is taken off when it closes."""
+    onward: dict[tuple, list[tuple]] = {}
+    for p, q in sorted(pieces):
+        onward.setdefault(p, []).append(q)
+    out = []
     while onward:
-        start = min(onward)
-        ring, here, back = [start], start, None
+        path = [min(onward)]
         while True:
-            ways = onward[here]
-            if back is None:
-                nxt = ways[0]
-            else:  # the sharpest turn to one side keeps loops that share a point apart
-                base = np.arctan2(back[1] - here[1], back[0] - here[0])
-                nxt = min(ways, key=lambda w: (np.arctan2(w[1] - here[1], w[0] - here[0]) - base) % (2 * np.pi) or 2 * np.pi)
-            onward[here].remove(nxt)
-            onward[nxt].remove(here)
-            for v in (here, nxt):
-                if v in onward and not onward[v]:
-                    del onward[v]
-            ring.append(nxt)
-            if nxt in ring[:-1]:
-                loop = ring[ring.index(nxt) :]
-                if len(loop) >= 4:
-                    rings.append(np.array(loop))
-                ring = ring[: ring.index(nxt) + 1]
-                if len(ring) == 1 and nxt not in onward:
-                    break
-            if nxt not in onward:
+            here = path[-1]
+            ways = onward.get(here)
+            if not ways:
                 break
-            back, here = (ring[-2] if len(ring) > 1 else None), ring[-1]
-    rings = [r for r in rings if _ring_area(r) > 0]
-    depth = [sum(contains_point([[o]], *r[:-1].mean(axis=0)) for o in rings if o is not r and _ring_area(o) > _ring_area(r)) for r in rings]
-    shells = [[r] for r, d in zip(rings, depth, strict=True) if d % 2 == 0]
-    for r, d in zip(rings, depth, strict=True):
-        if d % 2:
-            around = [s for s in shells if contains_point([[s[0]]], *r[:-1].mean(axis=0))]
-            min(around, key=lambda s: _ring_area(s[0])).append(r)
+            if len(path) > 1:
+                back = np.arctan2(path[-2][1] - here[1], path[-2][0] - here[0])
+                nxt = min(ways, key=lambda w: (back - np.arctan2(w[1] - here[1], w[0] - here[0])) % (2 * np.pi) or 2 * np.pi)
+            else:
+                nxt = ways[0]
+            ways.remove(nxt)
+            if not ways:
+                del onward[here]
+            if nxt in path:
+                start = path.index(nxt)
+                out.append([*path[start:], nxt])
+                path = path[: start + 1]
+            else:
+                path.append(nxt)
+    return [x for x in out if len(x) >= 4 and _signed_area(x) != 0]
+
+
+def repair(g: Geometry | None) -> Geometry | None:
+    """A valid geometry that covers the points of odd parity; None if nothing is left."""
+    if g is None or is_valid(g):
+        return g
+    if not len(_edges_of(g)):
+        return None
+    loops = _loops(_odd_pieces(g))
+    shells = [[np.array(x)] for x in loops if _signed_area(x) > 0]
+    for x in loops:
+        if _signed_area(x) < 0:
+            (ax, ay), (bx, by) = x[0], x[1]
+            inside = ((ax + bx) / 2 - 1e-7 * (by - ay), (ay + by) / 2 + 1e-7 * (bx - ax))
+            around = [s for s in shells if contains_point([[s[0]]], *inside)]
+            if around:
+                min(around, key=lambda s: _ring_area(s[0])).append(np.array(x))
     return shells or None
 
 

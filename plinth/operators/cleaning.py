@@ -6,7 +6,7 @@ and ``drop_reason``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_AREA = 15.0
@@ -86,9 +86,16 @@ def drop_outliers(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def drop_duplicates(df: DataFrame, key: list[str], order: str = "row_idx") -> tuple[DataFrame, DataFrame]:
-    """The first row of each key stays. Rows with equal keys are numbered within their key only."""
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(order))
-    return split(df, F.when(place > 1, "duplicate"))
+    """The first row of each key stays; nulls in keys equal each other, and ``order`` is unique.
+
+    The first of each key is found by an aggregate and joined back, so a key
+    that many rows share doesn't gather them in one task.
+    """
+    firsts = df.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(key))).agg(F.min(order).alias("__first"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)]
+    told = df.join(firsts, same, "left")
+    kept, gone = split(told, F.when(F.col(order) > F.col("__first"), "duplicate"))
+    return kept.drop("__first", *(f"__k{i}" for i in range(len(key)))), gone
 
 
 def fill_purpose(df: DataFrame, value: str = "unknown") -> DataFrame:

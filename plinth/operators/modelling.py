@@ -151,7 +151,7 @@ def prepared(train: DataFrame, other: DataFrame, kind: str, features: list[str])
 
 def cross_validate(df: DataFrame, kind: str, features: list[str], params: dict | None = None, folds: int = FOLDS, key: str = "component_id", group: str = "spatial_group") -> DataFrame:
     """Out-of-fold predictions: key, fold, target, prediction. No group is in its own training rows."""
-    dealt = checkpoint(df.join(F.broadcast(group_folds(df, group, folds)), group))  # a row a grid cell
+    dealt = checkpoint(df.join(group_folds(df, group, folds), group))
     out = None
     for k in range(folds):
         train, test, text = prepared(dealt.where(F.col("fold") != k), dealt.where(F.col("fold") == k), kind, features)

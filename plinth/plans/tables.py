@@ -265,7 +265,7 @@ SPATIAL_GROUPS = oracle("SELECT count(*) AS n_groups, round(avg(n), 6) AS mean_s
 def spatial_folds(spark, sf_dir: str) -> DataFrame:
     rows = modelling.split_observed(_model_rows(spark, sf_dir))[0]
     folds = modelling.group_folds(rows)
-    return rows.join(F.broadcast(folds), "spatial_group").groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("spatial_group").alias("n_groups"))
+    return rows.join(folds, "spatial_group").groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("spatial_group").alias("n_groups"))
 
 
 def regression_metrics(spark, sf_dir: str) -> DataFrame:
