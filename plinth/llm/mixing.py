@@ -70,7 +70,7 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = shares.count()
     ordered = running_total(sized, [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id")], {"before": "size"})
     dealt = ordered.alias("d").join(broadcast_within(shares, n, BROADCAST_SOURCES).alias("s"), F.expr("d.source <=> s.source"))
-    taken = dealt.where("2 * (before - base) + size <= 2 * rest").groupBy("s.source").agg(F.max(F.struct("d.key", "d.doc_id")).alias("last"))
+    taken = dealt.where("rest > 0 AND 2 * (before - base) + size <= 2 * rest").groupBy("s.source").agg(F.max(F.struct("d.key", "d.doc_id")).alias("last"))
     shares = shares.alias("s").join(taken.alias("t"), F.expr("s.source <=> t.source"), "left").select("s.*", "t.last")
     return sized, broadcast_within(checkpoint(shares), n, BROADCAST_SOURCES)
 
