@@ -87,9 +87,7 @@ def project_utm(spark, sf_dir: str) -> DataFrame:
     return df.select("id", *_r("easting", "northing", digits=4), F.round(F.abs(lon - F.col("lon")) + F.abs(lat - F.col("lat")), 8).alias("residue"))
 
 
-def union_area(spark, sf_dir: str) -> DataFrame:
-    """Union areas of components by side and of all members, and the side that represents each."""
-    table, a, b, members = fp.component_features(spark, sf_dir)
+def _union_areas(table: DataFrame, a: DataFrame, b: DataFrame, members: DataFrame) -> DataFrame:
     rows = members.join(a.select("uid", *fp.BOX_KEY).unionByName(b.select("uid", *fp.BOX_KEY)), "uid").withColumn("wkb", kernels.wkt_to_wkb(_wkt_column()))
     lists = rows.groupBy("component_id").agg(*(F.collect_list(F.when(F.col("src") == s, F.col("wkb"))).alias(s) for s in "AB"), F.collect_list("wkb").alias("ALL"))
     areas = lists.select("component_id", *(F.round(kernels.st_union_area(F.col(s)), 6).alias(f"union_area_{s.lower()}") for s in ("A", "B", "ALL")))
@@ -97,6 +95,11 @@ def union_area(spark, sf_dir: str) -> DataFrame:
     return out.select("component_id", "sum_area_a", "sum_area_b", "union_area_a", "union_area_b", "union_area_all", matching.geometry_source().alias("geometry_source"))
 
 
+def union_area(spark, sf_dir: str) -> DataFrame:
+    """Union areas of components by side and of all members, and the side that represents each."""
+    return _union_areas(*fp.component_features(spark, sf_dir))
+
+
 _PAIRWISE = (
     "pw AS (SELECT l.component_id, l.src, sum(greatest(0.0, least(l.maxx, r.maxx) - greatest(l.minx, r.minx)) * greatest(0.0, least(l.maxy, r.maxy) - greatest(l.miny, r.miny))) AS both "
     "FROM m2 l JOIN m2 r ON l.component_id = r.component_id AND l.src = r.src AND l.uid < r.uid GROUP BY 1, 2)"
@@ -110,9 +113,9 @@ _SIDES = (
 
 def geometry_source(spark, sf_dir: str) -> DataFrame:
     """For components of at most two shapes a side: union areas and the side that represents them."""
-    table, _, _, members = fp.component_features(spark, sf_dir)
-    few = table.where("n_a <= 2 AND n_b <= 2").select("component_id")
-    return union_area(spark, sf_dir).join(few, "component_id").select("component_id", "sum_area_a", "sum_area_b", "union_area_a", "union_area_b", "geometry_source")
+    table, a, b, members = fp.component_features(spark, sf_dir)
+    few = table.where("n_a <= 2 AND n_b <= 2")
+    return _union_areas(few, a, b, members).select("component_id", "sum_area_a", "sum_area_b", "union_area_a", "union_area_b", "geometry_source")
 
 
 GEOMETRY_SOURCE = oracle(
