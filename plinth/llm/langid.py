@@ -29,9 +29,11 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plinth.storage import broadcast_within
+from plinth.storage import broadcast_within, checkpoint
 
 SAMPLE = 2000
+SPARE = 2
+RANGE = 1 << 40
 BUCKET_BITS = 14
 EXHAUSTIVE = 6
 MANY_BITS = 8
@@ -114,13 +116,21 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _sample(docs: DataFrame) -> DataFrame:
-    """At most SAMPLE learnable documents a language: text, lang and half (0: counts, 1: calibration)."""
-    place = Window.partitionBy("lang").orderBy("h", "doc_id")
+    """At most SAMPLE learnable documents a language: text, lang and half (0: counts, 1: calibration).
+
+    A bound on the hash, set by a language's number of documents to let about
+    SPARE times SAMPLE of them through, goes before the exact choice, so that few
+    rows meet in one task however large the table.
+    """
     ids = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL AND crc32(cast(doc_id AS string)) % 4 <> 2")
-    ids = ids.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("place", F.row_number().over(place)).where(F.col("place") <= SAMPLE)
+    ids = ids.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(RANGE)).alias("h"))
+    sizes = checkpoint(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    n = sizes.count()
+    ids = ids.join(broadcast_within(sizes, n, BROADCAST_IDS), "lang").where(F.col("h") < F.lit(float(RANGE) * SPARE * SAMPLE) / F.col("n"))
+    place = Window.partitionBy("lang").orderBy("h", "doc_id")
+    ids = ids.withColumn("place", F.row_number().over(place)).where(F.col("place") <= SAMPLE)
     ids = ids.groupBy("doc_id", "lang").agg(F.min("place").alias("place"))
-    n = docs.select("lang").where("lang IS NOT NULL").agg(F.approx_count_distinct("lang")).first()[0] * SAMPLE * 1.2
-    found = docs.select("doc_id", "lang", "text").join(broadcast_within(ids, n, BROADCAST_IDS), ["doc_id", "lang"])
+    found = docs.select("doc_id", "lang", "text").join(broadcast_within(ids, n * SAMPLE, BROADCAST_IDS), ["doc_id", "lang"])
     return found.select("lang", (F.col("place") % 2).cast("int").alias("half"), "text")
 
 
