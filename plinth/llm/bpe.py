@@ -48,11 +48,10 @@ class WordBpe:
         self.suffix = model["end_of_word_suffix"]
         self.vocab = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-        self.ranks = {m: k for k, m in enumerate(self.merges)}
+        self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(model["merges"])}
         bare = {t.removesuffix(self.suffix) for t in self.vocab}
         #: Pairs of neighbours that some token holds; every other pair is a certain cut.
-        self.inside = {t[k : k + 2] for t in bare for k in range(len(t) - 1)}
+        self.inside = {pair for t in bare for pair in zip(t, t[1:], strict=False)}
         names = {i: t for t, i in (self.vocab | self.special).items()}
         self.names = [names.get(k, "").encode() for k in range(max(names) + 1)]
         whole = Tokenizer.from_file(path)
@@ -62,40 +61,42 @@ class WordBpe:
 
     def fragments(self, word: str) -> list[tuple[str, bool]]:
         """The fragments of a word between certain cuts, each with whether it ends the word."""
-        cuts = [0, *(k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.inside), len(word)]
-        return [(word[a:b], b == len(word)) for a, b in zip(cuts, cuts[1:], strict=False)]
+        inside = self.inside
+        cuts = [k for k, pair in enumerate(zip(word, word[1:], strict=False), start=1) if pair not in inside]
+        if not cuts:
+            return [(word, True)]
+        ends = [0, *cuts, len(word)]
+        return [(word[i:j], j == len(word)) for i, j in zip(ends, ends[1:], strict=False)]
 
     def _merge(self, fragment: str, ends: bool) -> bytes:
-        parts, rank, none = list(fragment), self.ranks.get, len(self.merges)
+        """Ids of a fragment: the pair of lowest rank is joined, the leftmost first, until none has a rank."""
+        parts, rank, none = list(fragment), self.ranks.get, len(self.ranks)
         if ends:
             parts[-1] += self.suffix
-        while len(parts) > 1:
-            best = min([rank(p, none) for p in zip(parts, parts[1:], strict=False)])
-            if best == none:
-                break
-            left, right = self.merges[best]
-            merged, rest = [], iter(parts)
-            for p in rest:
-                while p == left and (after := next(rest, None)) is not None:
-                    if after == right:
-                        p = left + right
-                        break
-                    merged.append(p)
-                    p = after
-                merged.append(p)
-            parts = merged
-        return np.array([self.vocab[p] for p in parts], "<u4").tobytes()
+        ranks = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) < none:
+            at = ranks.index(best)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank((parts[at - 1], parts[at]), none)
+            if at < len(ranks):
+                ranks[at] = rank((parts[at], parts[at + 1]), none)
+        return array("I", map(self.vocab.__getitem__, parts)).tobytes()
 
     def _word(self, word: str) -> bytes:
-        out = []
-        for key in self.fragments(word):
-            found = self._fragments.get(key)
-            if found is None:
-                if len(self._fragments) >= CACHE // 4:
-                    self._fragments.clear()
-                found = self._fragments[key] = self._merge(*key)
-            out.append(found)
-        return b"".join(out)
+        found = self.fragments(word)
+        if len(found) == 1:  # a word without cuts is cached as a piece
+            return self._merge(word, True)
+        return b"".join(self._fragment(f) for f in found)
+
+    def _fragment(self, key: tuple[str, bool]) -> bytes:
+        found = self._fragments.get(key)
+        if found is None:
+            if len(self._fragments) >= CACHE // 4:
+                self._fragments.clear()
+            found = self._fragments[key] = self._merge(*key)
+        return found
 
     def _piece(self, piece: str) -> bytes:
         if is_plain(piece):
