@@ -70,6 +70,15 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", failed)
 
 
+def _prior(m: int, nn: int | None, ff: int | None, n2: int | None, fr: float | None) -> tuple[float, float]:
+    """(mean, weight) of the beta prior from sums over hosts: hosts, n, f, n^2 and f^2/n."""
+    if not nn:
+        return 0.0, 1000.0
+    p, room, spread = ff / nn, nn - n2 / nn - (m - 1), fr - ff * (ff / nn)
+    rho = (spread - p * (1 - p) * (m - 1)) / (room * p * (1 - p)) if 0 < p < 1 and room > 0 else 0.0
+    return p, 1000.0 if rho <= 0.001 else 1.0 if rho >= 0.5 else (1 - rho) / rho
+
+
 def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "base_failed") -> DataFrame:
     """One row a host: n, f (failures), rate (posterior mean), low (posterior bound), host_rejected.
 
@@ -79,14 +88,11 @@ def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "base_f
     """
     hosts = judged.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(failed)).alias("f"))
     hosts = checkpoint(hosts)
-    prior = hosts.agg(
-        F.count(F.lit(1)).alias("m"), F.sum("n").alias("nn"), F.sum("f").alias("ff"),
-        F.sum(F.col("n") * F.col("n")).alias("n2"), F.sum(F.col("f") * F.col("f") / F.col("n")).alias("fr"),
-    ).selectExpr("m", "nn", "ff / nn AS p", "nn - n2 / nn - (m - 1) AS room", "fr - ff * (ff / nn) AS spread")
-    prior = prior.selectExpr("p", "CASE WHEN p > 0 AND p < 1 AND room > 0 THEN (spread - p * (1 - p) * (m - 1)) / (room * p * (1 - p)) ELSE 0D END AS rho")
-    prior = prior.selectExpr("p", "CASE WHEN rho <= 0.001D THEN 1000D WHEN rho >= 0.5D THEN 1D ELSE (1 - rho) / rho END AS k")
-    out = hosts.crossJoin(F.broadcast(prior)).selectExpr("host", "n", "f", "k", "(f + k * p) / (n + k) AS rate")
-    out = out.selectExpr("*", f"rate - {Z}D * sqrt(rate * (1 - rate) / (n + k + 1)) AS low")
+    p, k = _prior(*hosts.agg(
+        F.count(F.lit(1)), F.sum("n"), F.sum("f"), F.sum(F.col("n") * F.col("n")), F.sum(F.col("f") * F.col("f") / F.col("n")),
+    ).first())
+    out = hosts.withColumns({"k": F.lit(k), "rate": (F.col("f") + F.lit(k * p)) / (F.col("n") + F.lit(k))})
+    out = out.withColumn("low", F.expr(f"rate - {Z}D * sqrt(rate * (1 - rate) / (n + k + 1))"))
     return out.withColumn("host_rejected", F.col("low") > F.lit(MAX_HOST_RATE))
 
 
