@@ -41,8 +41,7 @@ MAX_RATE = 0.5
 Z = 1.64
 BROADCAST_HOSTS = 200_000
 
-_LEVELS = ("host", "domain", "suffix")
-#: Moment estimate of a prior's weight from (m groups, nn outcomes, bb blocked, n2 = sum of n^2, br = sum of b^2/n).
+#: In SQL, for the oracle: moment estimate of a prior's weight from (m groups, nn outcomes, bb blocked, n2 = sum of n^2, br = sum of b^2/n).
 _RHO = "CASE WHEN bb > 0 AND bb < nn AND nn - n2 / nn - (m - 1) > 0 THEN (br - bb * (bb / nn) - (bb / nn) * (1 - bb / nn) * (m - 1)) / ((nn - n2 / nn - (m - 1)) * (bb / nn) * (1 - bb / nn)) ELSE 0.0 END"
 _WEIGHT = "CASE WHEN rho <= 0.01 THEN 100.0 WHEN rho >= 0.5 THEN 1.0 ELSE (1 - rho) / rho END"
 
@@ -67,6 +66,17 @@ def with_rules(urls: DataFrame, rules=RULES) -> DataFrame:
     return urls.withColumns({"rule": rule, "ruled": verdict})
 
 
+def _weight(table: DataFrame) -> float:
+    """Weight of the prior over a level's groups (n outcomes, b blocked): between 1 and 100."""
+    m, nn, bb, n2, br = table.where("n > 0").agg(F.count(F.lit(1)), F.sum("n"), F.sum("b"), F.sum(F.col("n") * F.col("n")), F.sum(F.col("b") * F.col("b") / F.col("n"))).first()
+    room = nn - n2 / nn - (m - 1) if nn else 0
+    if not nn or not 0 < bb < nn or room <= 0:
+        return 100.0
+    p = bb / nn
+    rho = (br - bb * p - p * (1 - p) * (m - 1)) / (room * p * (1 - p))
+    return 100.0 if rho <= 0.01 else 1.0 if rho >= 0.5 else (1 - rho) / rho
+
+
 def reputation(outcomes: DataFrame) -> DataFrame:
     """From (host, outcome: blocked true/false, or null if unlabelled): host, rate (posterior mean), low (posterior bound).
 
@@ -78,20 +88,14 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     hosts = checkpoint(hosts)
     domains = checkpoint(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b")))
     suffixes = checkpoint(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b")))
-    weights = None
-    for name, table in zip(_LEVELS, (hosts, domains, suffixes), strict=True):
-        w = table.where("n > 0").agg(
-            F.count(F.lit(1)).cast("double").alias("m"), F.sum("n").cast("double").alias("nn"), F.sum("b").cast("double").alias("bb"),
-            F.sum(F.col("n") * F.col("n")).cast("double").alias("n2"), F.sum(F.col("b") * F.col("b") / F.col("n")).alias("br"),
-        )
-        rate = F.expr("CASE WHEN nn > 0 THEN bb / nn ELSE 0.0D END").alias("p")
-        w = w.withColumn("rho", F.expr(_RHO)).select(F.expr(_WEIGHT).cast("double").alias(f"k_{name}"), *([rate] if name == "suffix" else []))
-        weights = w if weights is None else weights.crossJoin(w)
-    prior = F.broadcast(checkpoint(weights))
+    k_host, k_domain, k_suffix = (_weight(table) for table in (hosts, domains, suffixes))
+    nn, bb = suffixes.agg(F.sum("n"), F.sum("b")).first()
+    p = bb / nn if nn else 0.0
     few = [broadcast_within(t, t.count(), BROADCAST_HOSTS) for t in (domains, suffixes)]
-    tree = hosts.alias("h").join(few[0].alias("d"), ["domain", "suffix"]).join(few[1].alias("s"), "suffix").crossJoin(prior)
-    tree = tree.select("host", "h.n", "h.b", "k_host", F.expr("(d.b + k_domain * ((s.b + k_suffix * p) / (s.n + k_suffix))) / (d.n + k_domain)").alias("up"))
-    tree = tree.select("host", "n", "k_host", F.expr("(b + k_host * up) / (n + k_host)").alias("rate"))
+    tree = hosts.alias("h").join(few[0].alias("d"), ["domain", "suffix"]).join(few[1].alias("s"), "suffix")
+    top = (F.col("s.b") + F.lit(k_suffix * p)) / (F.col("s.n") + F.lit(k_suffix))
+    up = (F.col("d.b") + F.lit(k_domain) * top) / (F.col("d.n") + F.lit(k_domain))
+    tree = tree.select("host", "h.n", F.lit(k_host).alias("k_host"), ((F.col("h.b") + F.lit(k_host) * up) / (F.col("h.n") + F.lit(k_host))).alias("rate"))
     return tree.select("host", "rate", F.expr(f"rate - {Z} * sqrt(rate * (1 - rate) / (n + k_host + 1))").alias("low"))
 
 
