@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plinth.llm import near_copies
 from plinth.operators.graph import connected_components
 from plinth.storage import checkpoint
 
@@ -167,11 +168,12 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component (the smallest doc_id), with the columns it came with.
+    """One document of each component of near copies (the smallest doc_id), with the columns it came with.
 
+    The stage takes near_copies' five-word shingles at Jaccard 0.8; SHINGLE and THRESHOLD above are op2's alone.
     Rows without a doc_id stay. Where one doc_id stands on several rows, one of them stays.
     """
-    found = checkpoint(components(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    found = checkpoint(near_copies.components(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
     gone = found.where("doc_id <> component_id OR n > 1").select("doc_id", F.when(F.col("doc_id") == F.col("component_id"), 1).otherwise(0).alias("one"))
     rows = docs.select(F.struct("*").alias("__row"), "doc_id").alias("d").join(gone.hint("shuffle_hash").alias("g"), "doc_id", "left")
     stay = rows.where("g.one IS NULL").select("__row.*")
