@@ -171,14 +171,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component of near copies (the smallest doc_id), with the columns it came with.
 
     The stage takes near_copies' five-word shingles at Jaccard 0.8; SHINGLE and THRESHOLD above are op2's alone.
-    Rows without a doc_id stay. Where one doc_id stands on several rows, one of them stays.
+    Rows without a doc_id stay. Rows are told apart by doc_id and text: of each component one row stays, that of the
+    smallest doc_id and, where this doc_id stands on several of its texts, of the smallest hash.
     """
-    found = checkpoint(near_copies.components(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
-    gone = found.where("doc_id <> component_id OR n > 1").select("doc_id", F.when(F.col("doc_id") == F.col("component_id"), 1).otherwise(0).alias("one"))
-    rows = docs.select(F.struct("*").alias("__row"), "doc_id").alias("d").join(gone.hint("shuffle_hash").alias("g"), "doc_id", "left")
+    found = near_copies.components(docs).where("doc_id IS NOT NULL").groupBy("component", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    found = checkpoint(found)
+    named = checkpoint(found.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("named")))
+    one = F.struct("doc_id", "th") == F.col("named")
+    gone = found.join(named, "component").select("doc_id", "th", "n", one.alias("one")).where("NOT one OR n > 1")
+    rows = docs.select(F.struct("*").alias("__row"), "doc_id", F.expr("xxhash64(text) AS th")).alias("d").join(gone.hint("shuffle_hash").alias("g"), ["doc_id", "th"], "left")
     stay = rows.where("g.one IS NULL").select("__row.*")
-    if not found.where("doc_id = component_id AND n > 1").isEmpty():
-        again = rows.where("g.one = 1").groupBy("doc_id").agg(F.min_by("__row", F.struct("__row.text")).alias("__row"))
+    if not gone.where("one").isEmpty():
+        again = rows.where("g.one").groupBy("doc_id", "th").agg(F.min_by("__row", F.struct("__row.text")).alias("__row"))
         stay = stay.unionByName(again.select("__row.*"))
     return stay
 

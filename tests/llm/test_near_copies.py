@@ -54,3 +54,11 @@ def test_near_copies_of_the_table(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if (r["text"] or "").isascii()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in C.components(df).collect()} == brute(sorted(rows))
+
+
+def test_a_doc_id_on_two_texts_keeps_one_row_of_each_component(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(3, a), (7, a), (7, b), (9, b), (9, b), (5, "its own text"), (5, "its own text"), (5, "another text"), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(df).collect()))
+    assert got == sorted([(0, a), (3, a), (7, b), (5, "its own text"), (5, "another text")])
