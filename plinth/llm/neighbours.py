@@ -46,6 +46,8 @@ MOST_CELLS = 1 << 16
 LEAF = 64
 VISITS = 20_000
 EVERY = 50
+#: The least squared distance to search within, above what rounding makes of parallel vectors.
+MARGIN = 1e-12
 BROADCAST_ROWS = 200_000
 
 
@@ -167,8 +169,8 @@ class Tree:
         active = np.arange(len(queries))
         for step in range(len(self.low)):
             at = order[active, step]
-            kth = np.minimum(bound[active], 2 - 2 * best[active, -1])
-            active, at = (x[boxes[active, at] < ratio * kth] for x in (active, at))
+            kth = np.maximum(MARGIN, np.minimum(bound[active], 2 - 2 * best[active, -1]))
+            active, at = (x[boxes[active, at] <= ratio * kth] for x in (active, at))
             if not len(active):
                 break
             members = self.members[at]
@@ -284,8 +286,8 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
             if not b.num_rows:
                 continue
             x = np.array(b.column("at").to_pylist(), np.float64)
-            limit = ratio * b.column("bound").to_numpy()
-            near = _box_distance(x, low, high) < limit[:, None]
+            limit = ratio * np.maximum(MARGIN, b.column("bound").to_numpy())
+            near = _box_distance(x, low, high) <= limit[:, None]
             near &= numbers[None, :] != b.column("cell").to_numpy()[:, None]
             q, c = np.nonzero(near)
             took = b.select(["vid", "embedding", "bound"]).take(pa.array(q))
