@@ -13,12 +13,15 @@ def running_total(df: DataFrame, order: list[Column], totals: dict[str, str | Co
 
     Rows are dealt by range of ``order``; each range is summed in its own task
     and then shifted by the total of the ranges before it. Only one row a
-    range ever meets in one task. Null values count as 0. Rows that tie in
-    ``order`` get totals in some order.
+    range ever meets in one task. Rows that tie in ``order`` are dealt over
+    ranges like any other and get totals in some order. Null values count as 0.
+    ``df`` is computed twice (once to choose the ranges): checkpoint it first
+    where that is dear.
     """
     values = {name: F.coalesce(F.col(v) if isinstance(v, str) else v, F.lit(0)).cast("long") for name, v in totals.items()}
     pid, parts = "__range", int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumns({f"__v_{n}": v for n, v in values.items()}).repartitionByRange(parts, *order)
+    dealt = df.withColumns({f"__v_{n}": v for n, v in values.items()} | {"__tie": F.monotonically_increasing_id()})
+    dealt = dealt.repartitionByRange(parts, *order, F.col("__tie")).drop("__tie")
     dealt = checkpoint(dealt.withColumn(pid, F.spark_partition_id()))
     upto = Window.partitionBy(pid).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
