@@ -9,10 +9,15 @@ ids concatenated. Fragments recur, so most are merged once per worker.
 Decoding looks the ids' tokens up and joins them with a space, which is what the
 tokenizer does that declares no decoder.
 
+A fragment of up to SHORT characters is merged by scanning its pairs; a longer
+one by a heap of its pairs over a linked list, in time n log n, so a run without
+cuts may be as long as a text.
+
 The tokenizer file is a parameter; it must be a byte-level BPE file with an
-end-of-word suffix, as ``word_bpe_49k.json`` is. Normalisation and the split into
-words are taken from the file through the tokenizers library where a stretch of
-text isn't plain Latin-1.
+end-of-word suffix and no decoder, as ``word_bpe_49k.json`` is, else ValueError.
+Normalisation and the split into words are taken from the file through the
+tokenizers library where a stretch of text isn't plain Latin-1, and for all text
+if the file doesn't cut as ``pieces`` does.
 
 Defined cases: null and empty texts have no ids and decode to the empty text;
 special tokens in a text are taken as such; whole texts are encoded whatever
@@ -24,16 +29,19 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plinth.llm.pieces import CACHE, PieceIds, byte_level, is_plain
+from plinth.llm.pieces import CACHE, LONGEST, PieceIds, byte_level, cuts_like, is_plain, pieces
 
 ROWS = 500
+SHORT = 40
 
 
 class WordBpe:
@@ -45,6 +53,8 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        if model["type"] != "BPE" or not model.get("end_of_word_suffix") or spec["decoder"] is not None or "ByteLevel" not in json.dumps(spec["pre_tokenizer"]):
+            raise ValueError(f"{path} isn't a byte-level BPE file with an end-of-word suffix and no decoder")
         self.suffix = model["end_of_word_suffix"]
         self.vocab = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -55,9 +65,12 @@ class WordBpe:
         names = {i: t for t, i in (self.vocab | self.special).items()}
         self.names = [names.get(k, "").encode() for k in range(max(names) + 1)]
         whole = Tokenizer.from_file(path)
-        self._normalize, self._split = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
+        self._normalize = whole.normalizer.normalize_str if whole.normalizer else str
+        self._split = whole.pre_tokenizer.pre_tokenize_str
+        self._specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._fragments: dict[tuple[str, bool], bytes] = {}
-        self.cache = PieceIds(self._piece)
+        self._cuts = cuts_like(spec)
+        self.cache = PieceIds(self._piece, pieces if self._cuts else lambda text: [text])
 
     def fragments(self, word: str) -> list[tuple[str, bool]]:
         """The fragments of a word between certain cuts, each with whether it ends the word."""
@@ -70,9 +83,14 @@ class WordBpe:
 
     def _merge(self, fragment: str, ends: bool) -> bytes:
         """Ids of a fragment: the pair of lowest rank is joined, the leftmost first, until none has a rank."""
-        parts, rank, none = list(fragment), self.ranks.get, len(self.ranks)
+        parts = list(fragment)
         if ends:
             parts[-1] += self.suffix
+        parts = self._scan(parts) if len(parts) <= SHORT else self._heap(parts)
+        return array("I", map(self.vocab.__getitem__, parts)).tobytes()
+
+    def _scan(self, parts: list[str]) -> list[str]:
+        rank, none = self.ranks.get, len(self.ranks)
         ranks = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
         while ranks and (best := min(ranks)) < none:
             at = ranks.index(best)
@@ -82,7 +100,29 @@ class WordBpe:
                 ranks[at - 1] = rank((parts[at - 1], parts[at]), none)
             if at < len(ranks):
                 ranks[at] = rank((parts[at], parts[at + 1]), none)
-        return array("I", map(self.vocab.__getitem__, parts)).tobytes()
+        return parts
+
+    def _heap(self, parts: list[str]) -> list[str]:
+        """As ``_scan``. An entry of the heap is rank * n + place of the pair's left part; one that no longer holds is passed over."""
+        rank, n = self.ranks.get, len(parts)
+        left, right = array("q", range(-1, n - 1)), array("q", range(1, n + 1))
+        heap = [r * n + k for k, p in enumerate(zip(parts, parts[1:], strict=False)) if (r := rank(p)) is not None]
+        heapify(heap)
+        while heap:
+            best, at = divmod(heappop(heap), n)
+            gone = right[at]
+            if not parts[at] or gone == n or rank((parts[at], parts[gone])) != best:
+                continue
+            parts[at] += parts[gone]
+            parts[gone] = ""
+            after = right[at] = right[gone]
+            if after < n:
+                left[after] = at
+                if (r := rank((parts[at], parts[after]))) is not None:
+                    heappush(heap, r * n + at)
+            if (before := left[at]) >= 0 and (r := rank((parts[before], parts[at]))) is not None:
+                heappush(heap, r * n + before)
+        return [p for p in parts if p]
 
     def _word(self, word: str) -> bytes:
         found = self.fragments(word)
@@ -93,18 +133,19 @@ class WordBpe:
     def _fragment(self, key: tuple[str, bool]) -> bytes:
         found = self._fragments.get(key)
         if found is None:
-            if len(self._fragments) >= CACHE // 4:
-                self._fragments.clear()
-            found = self._fragments[key] = self._merge(*key)
+            found = self._merge(*key)
+            if len(key[0]) <= LONGEST:
+                if len(self._fragments) >= CACHE // 4:
+                    self._fragments.clear()
+                self._fragments[key] = found
         return found
 
     def _piece(self, piece: str) -> bytes:
-        if is_plain(piece):
+        if self._cuts and is_plain(piece):
             return self._word(byte_level(piece))
-        for token, at in self.special.items():
-            if token in piece:
-                left, _, right = piece.partition(token)
-                return self.cache.ids(left) + np.array([at], "<u4").tobytes() + self.cache.ids(right)
+        parts = self._specials.split(piece) if self._specials else [piece]
+        if len(parts) > 1:  # every other part is a special token
+            return b"".join(np.array([self.special[x]], "<u4").tobytes() if k % 2 else self.cache.ids(x) for k, x in enumerate(parts))
         return b"".join(self._word(w) for w, _ in self._split(self._normalize(piece)))
 
     def encode(self, text: str | None) -> array:

@@ -100,3 +100,71 @@ def test_file_format(spark, docs, tmp_path):
                 col = meta.row_group(g).column(c)
                 assert col.has_column_index and col.has_offset_index
                 assert any("DICTIONARY" in e or "DELTA" in e for e in col.encodings)
+
+
+def test_long_runs_without_cuts(library):
+    """A run of a million letters is merged in seconds; scanning it would take hours."""
+    import time
+
+    own, rnd = bpe.WordBpe(PATH), random.Random(5)
+    began = time.perf_counter()
+    for text in ("".join(rnd.choices("etaoinshrdlu", k=1_000_000)), "a" * 300_000, "x<|endoftext|>y" * 3000, "".join(rnd.choices("ab漢é", k=20_000))):
+        assert list(own.encode(text)) == library.encode(text, add_special_tokens=False).ids
+    assert time.perf_counter() - began < 60
+
+
+def test_heap_and_scan_agree():
+    own, rnd = bpe.WordBpe(PATH), random.Random(6)
+    for _ in range(500):
+        parts = rnd.choices("abehinrst", k=rnd.randint(1, 60))
+        assert own._heap(list(parts)) == own._scan(list(parts)), parts
+
+
+def test_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 5000)
+    held = pieces.PieceIds(lambda p: p.encode())
+    for k in range(500):
+        assert held.ids(f"w{k} x") == f"w{k}x".encode()
+        assert sum(map(len, held)) < 5000 and len(held) <= 25
+    held.ids("a" * 500)
+    assert "a" * 500 not in held
+
+
+def test_files_that_cut_otherwise(spark, tmp_path):
+    """op4 gives whole texts to the library for a file that ``pieces`` doesn't know; op9 refuses a file it can't decode."""
+    other = public.path("byte_bpe_50k.json")
+    whole = tokenizers.Tokenizer.from_file(other)
+    ids = token_files._worker_ids(other)
+    for t in texts()[:300]:
+        assert np.frombuffer(ids.ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+    with pytest.raises(ValueError):
+        bpe.WordBpe(other)
+
+
+def test_upper_case_kept_by_another_normaliser(tmp_path):
+    import json
+
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    spec["normalizer"] = {"type": "NFC"}
+    path = str(tmp_path / "t.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    whole, own, ids = tokenizers.Tokenizer.from_file(path), bpe.WordBpe(path), token_files._worker_ids(path)
+    for t in texts()[:200]:
+        want = whole.encode(t, add_special_tokens=False).ids
+        assert list(own.encode(t)) == want and np.frombuffer(ids.ids(t), "<u4").tolist() == want, repr(t)
+
+
+def test_token_files_with_repeats_of_one_doc_id(spark, tmp_path):
+    rows = [(7, f"text {k % 3}") for k in range(60)] + [(None, "no id")] * 30 + [(9, None), (1, "first")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    folder = str(tmp_path / "r")
+    token_files.write(df, folder)
+    got = sorted(token_files.index(spark, folder).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 30 + [1] + [7] * 60 + [9]
+    ends = 0
+    for r in got:
+        assert r["start"] == ends
+        ends += r["n_tokens"]
+    held = sorted((r["doc_id"], tuple(r["tokens"])) for r in token_files.read(spark, folder).collect() if r["doc_id"] == 7)
+    assert [zlib.crc32(np.array(t, "<u4").tobytes()) for _, t in held] and len({r["ids_crc32"] for r in got if r["doc_id"] == 7}) == 3
