@@ -39,6 +39,80 @@ def test_taken_is_near_the_target_and_reruns_agree(spark):
     assert {r["doc_id"]: r["count"] for r in copies} == {r["doc_id"]: r["copies"] for r in got if r["copies"]}
 
 
+def brute_copies(rows, targets):
+    """Copies by (source, key, doc_id, size): whole ones, then passes in seeded order, then rounds of the nearest."""
+    from collections import Counter
+    from hashlib import md5
+
+    out = {}
+    for s, target in targets.items():
+        units = Counter((md5(f"{M.SEED}:{d}".encode()).hexdigest()[:16], d, len((t or "").split())) for d, t, x in rows if x == s)
+        total = sum(u[2] * n for u, n in units.items())
+        whole = int(target // total) if total else 0
+        got, gap = dict.fromkeys(units, 0), target - whole * total
+        for _ in range(M.PASSES):
+            limit, used = gap, 0
+            for u in sorted(u for u in units if u[2] and not got[u] and u[2] <= limit):
+                if used + u[2] * units[u] > limit:
+                    break
+                used, got[u] = used + u[2] * units[u], 1
+            gap -= used
+        for _ in range(M.ROUNDS):
+            best = None
+            for u, n in units.items():
+                if u[2] and (room := 3 - whole - got[u]) > 0:
+                    m = max(1, min(room, int(gap // (u[2] * n))))
+                    off = abs(gap - m * u[2] * n)
+                    if off < abs(gap) and (best is None or (off, u) < best[:2]):
+                        best = (off, u, m)
+            if best:
+                got[best[1]] += best[2]
+                gap -= best[2] * best[1][2] * units[best[1]]
+        out |= {(s, u[1], u[2]): whole + g for u, g in got.items()}
+    return out
+
+
+def skewed():
+    """Sources whose words lie mostly in a few long documents."""
+    import random
+
+    rnd = random.Random(8)
+    rows = []
+    for s in range(9):
+        for k in range([3, 40, 200, 7, 90, 15, 1, 300, 60][s]):
+            size = rnd.choice([1, 3, 20, 60, 150, 400]) if rnd.random() < 0.9 else rnd.randint(2000, 9000)
+            rows.append((len(rows), " ".join(["w"] * size), f"s{s}"))
+    return [*rows, *rows[50:60]]
+
+
+def test_equals_brute_force_and_comes_near(spark):
+    rows = skewed()
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = M.mix(df).collect()
+    targets = {r["source"]: r["target"] for r in got}
+    want = brute_copies(rows, targets)
+    assert all(r["copies"] == want[r["source"], r["doc_id"], r["size"]] for r in got)
+    for s, target in targets.items():
+        own = [r for r in got if r["source"] == s]
+        if len(own) >= 40:
+            assert abs(sum(r["taken"] for r in own) - target) <= 0.01 * target
+
+
+@pytest.mark.parametrize("folder, sources_off", [("/root/testdata/sf0.001", 0), ("/root/testdata/sf0.01", 0)])
+def test_near_the_target_on_the_tables(spark, folder, sources_off):
+    """All but so many sources come within 5 %, and those of 40 documents or more within 1 %."""
+    import os
+
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    by = {}
+    for r in M.query(spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source"), "doc_id").collect():
+        by.setdefault(r["source"], []).append(r)
+    off = {s: abs(sum(r["taken"] for r in rows) / rows[0]["target"] - 1) for s, rows in by.items()}
+    assert sum(x > 0.05 for x in off.values()) <= sources_off, off
+    assert all(x <= 0.01 for s, x in off.items() if len(by[s]) >= 40), off
+
+
 def test_edge_rows(docs, no_docs):
     got = M.mix(docs).collect()
     assert len(got) == docs.count()
