@@ -13,8 +13,11 @@ Outcomes are summed by host before they are shuffled; the levels above are sums
 of the level below. What is joined back to pages is one row a host, broadcast
 only while there are few.
 
-The suffix is a host's last label and the registered domain its last two; a host
-of one label is its own domain and suffix.
+For the tree, a host goes without user info, port and dots at its end. Its
+suffix is its last label, or its last two where these are a country's and one of
+SECOND (``co.uk``); the registered domain has one label more. A host that is no
+longer than its suffix is its own domain, and a numeric or bracketed address is
+its own domain and suffix.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, no
 rule fits it, and its reputation is that of the empty host (allowed, since no
@@ -24,7 +27,7 @@ each count; other columns may have any name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.storage import broadcast_within, checkpoint
@@ -37,6 +40,8 @@ RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
+#: Second-level labels under which countries register domains.
+SECOND = ("ac", "co", "com", "edu", "go", "gov", "mil", "ne", "net", "or", "org")
 MAX_RATE = 0.5
 Z = 1.64
 BROADCAST_HOSTS = 200_000
@@ -66,6 +71,23 @@ def with_rules(urls: DataFrame, rules=RULES) -> DataFrame:
     return urls.withColumns({"rule": rule, "ruled": verdict})
 
 
+_ADDRESS = r"^([0-9]{1,3}([.][0-9]{1,3}){3}|\[.*)$"
+_COUNTRY = rf"(^|[.])({'|'.join(SECOND)})[.][a-z]{{2}}$"
+
+
+def with_tree(urls: DataFrame) -> DataFrame:
+    """Add site (the host as the tree has it), domain and suffix."""
+    site = F.regexp_replace(F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", ""), "[.]+$", "")
+    long, address = F.col("site").rlike(_COUNTRY), F.col("site").rlike(_ADDRESS)
+
+    def last(n: int) -> Column:
+        return F.substring_index("site", ".", -n)
+
+    suffix = F.when(address, F.col("site")).when(long, last(2)).otherwise(last(1))
+    domain = F.when(address, F.col("site")).when(long, last(3)).otherwise(last(2))
+    return urls.withColumn("site", site).withColumns({"domain": domain, "suffix": suffix})
+
+
 def _weight(table: DataFrame) -> float:
     """Weight of the prior over a level's groups (n outcomes, b blocked): between 1 and 100."""
     m, nn, bb, n2, br = table.where("n > 0").agg(F.count(F.lit(1)), F.sum("n"), F.sum("b"), F.sum(F.col("n") * F.col("n")), F.sum(F.col("b") * F.col("b") / F.col("n"))).first()
@@ -78,14 +100,11 @@ def _weight(table: DataFrame) -> float:
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
-    """From (host, outcome: blocked true/false, or null if unlabelled): host, rate (posterior mean), low (posterior bound).
+    """From (site, domain, suffix, outcome: blocked true/false, or null if unlabelled): site, rate (posterior mean), low (posterior bound).
 
-    Every host of ``outcomes`` gets a row, also those without labels.
+    Every site of ``outcomes`` gets a row, also those without labels.
     """
-    hosts = outcomes.groupBy("host").agg(F.count("outcome").alias("n"), F.count_if("outcome").alias("b"))
-    labels = F.split("host", "\\.")
-    hosts = hosts.withColumns({"domain": F.expr("substring_index(host, '.', -2)"), "suffix": F.element_at(labels, -1)})
-    hosts = checkpoint(hosts)
+    hosts = checkpoint(outcomes.groupBy("site", "domain", "suffix").agg(F.count("outcome").alias("n"), F.count_if("outcome").alias("b")))
     domains = checkpoint(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b")))
     suffixes = checkpoint(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b")))
     k_host, k_domain, k_suffix = (_weight(table) for table in (hosts, domains, suffixes))
@@ -95,22 +114,23 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     tree = hosts.alias("h").join(few[0].alias("d"), ["domain", "suffix"]).join(few[1].alias("s"), "suffix")
     top = (F.col("s.b") + F.lit(k_suffix * p)) / (F.col("s.n") + F.lit(k_suffix))
     up = (F.col("d.b") + F.lit(k_domain) * top) / (F.col("d.n") + F.lit(k_domain))
-    tree = tree.select("host", "h.n", F.lit(k_host).alias("k_host"), ((F.col("h.b") + F.lit(k_host) * up) / (F.col("h.n") + F.lit(k_host))).alias("rate"))
-    return tree.select("host", "rate", F.expr(f"rate - {Z} * sqrt(rate * (1 - rate) / (n + k_host + 1))").alias("low"))
+    tree = tree.select("site", "h.n", F.lit(k_host).alias("k_host"), ((F.col("h.b") + F.lit(k_host) * up) / (F.col("h.n") + F.lit(k_host))).alias("rate"))
+    return tree.select("site", "rate", F.expr(f"rate - {Z} * sqrt(rate * (1 - rate) / (n + k_host + 1))").alias("low"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, and the host's rate and low, of every page."""
-    ruled = checkpoint(with_rules(parts(pages.select("page_id", "url")), rules).drop("url"))
-    known = checkpoint(reputation(ruled.select("host", (F.col("ruled") == "block").alias("outcome"))))
+    """page_id, host, path, rule, verdict, and the site's rate and low, of every page."""
+    ruled = checkpoint(with_tree(with_rules(parts(pages.select("page_id", "url")), rules)).drop("url"))
+    known = checkpoint(reputation(ruled.select("site", "domain", "suffix", (F.col("ruled") == "block").alias("outcome"))))
     known = broadcast_within(known, known.count(), BROADCAST_HOSTS)
-    out = ruled.join(known, "host", "left")
+    out = ruled.join(known, "site", "left")
     said = F.coalesce("ruled", F.when(F.col("low") > F.lit(MAX_RATE), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", said.alias("verdict"), "rate", "low")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
+    found = judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "host", "path", "rule", "verdict", F.round("rate", 6).alias("rate"), F.round("low", 6).alias("low"))
 
 
 def _rule_sql(what) -> str:
@@ -130,10 +150,14 @@ WITH a AS (
 ), p AS (
   SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM u
 ), r AS (
-  SELECT *, {_rule_sql(lambda h, p, v: h + p)} AS rule, {_rule_sql(lambda h, p, v: v)} AS ruled FROM p
+  SELECT *, {_rule_sql(lambda h, p, v: h + p)} AS rule, {_rule_sql(lambda h, p, v: v)} AS ruled,
+    regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '[.]+$', '') AS site FROM p
+), g AS (
+  SELECT site, ruled, CASE WHEN regexp_matches(site, '{_ADDRESS}') THEN 0 WHEN regexp_matches(site, '{_COUNTRY}') THEN 2 ELSE 1 END AS long, string_split(site, '.') AS labels FROM r
 ), h AS (
-  SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
-    count(ruled) AS n, count(*) FILTER (ruled = 'block') AS b FROM r GROUP BY host
+  SELECT site, CASE long WHEN 0 THEN site WHEN 1 THEN array_to_string(labels[-2:], '.') ELSE array_to_string(labels[-3:], '.') END AS domain,
+    CASE long WHEN 0 THEN site WHEN 1 THEN labels[-1] ELSE array_to_string(labels[-2:], '.') END AS suffix,
+    count(ruled) AS n, count(*) FILTER (ruled = 'block') AS b FROM g GROUP BY ALL
 ), d AS (
   SELECT domain, suffix, sum(n) AS n, sum(b) AS b FROM h GROUP BY domain, suffix
 ), s AS (
@@ -142,9 +166,11 @@ WITH a AS (
   SELECT {_weights_sql('h')} AS k_host, {_weights_sql('d')} AS k_domain, {_weights_sql('s')} AS k_suffix,
     (SELECT CASE WHEN sum(n) > 0 THEN sum(b) / sum(n) ELSE 0.0 END FROM s) AS p
 ), t AS (
-  SELECT host, h.n, k_host, (h.b + k_host * ((d.b + k_domain * ((s.b + k_suffix * p) / (s.n + k_suffix))) / (d.n + k_domain))) / (h.n + k_host) AS rate
+  SELECT site, h.n, k_host, (h.b + k_host * ((d.b + k_domain * ((s.b + k_suffix * p) / (s.n + k_suffix))) / (d.n + k_domain))) / (h.n + k_host) AS rate
   FROM h JOIN d USING (domain, suffix) JOIN s USING (suffix), k
+), w AS (
+  SELECT site, rate, rate - {Z} * sqrt(rate * (1 - rate) / (n + k_host + 1)) AS low FROM t
 )
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN rate - {Z} * sqrt(rate * (1 - rate) / (n + k_host + 1)) > {MAX_RATE} THEN 'block' ELSE 'allow' END) AS verdict
-FROM r JOIN t USING (host)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN low > {MAX_RATE} THEN 'block' ELSE 'allow' END) AS verdict, round(rate, 6) AS rate, round(low, 6) AS low
+FROM r JOIN w USING (site)
 """
