@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -41,6 +42,7 @@ PAGE_ROWS = 500
 ROWS = 500
 _WRITE = {
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.block.size": str(ROW_GROUP_BYTES),
     "parquet.page.size": str(PAGE_BYTES),
@@ -66,7 +68,7 @@ def _worker_ids(path: str) -> PieceIds:
 
     def encode(piece: str) -> bytes:
         ids = [t.id for t in word(byte_level(piece))] if cuts and is_plain(piece) else tokenizer.encode(piece, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     return PieceIds(encode, pieces if cuts else lambda text: [text])
 
