@@ -49,3 +49,38 @@ def test_chunks_cover_long_texts(monkeypatch):
     once = whole.evidence(text)
     monkeypatch.setattr(L, "CHUNK", 100)
     assert whole.evidence(text) == pytest.approx(once, rel=0.15, abs=0.05)
+
+
+def plain_predict(model, text):
+    """The decoder in plain Python: every codeword against every bit."""
+    import math
+
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    a = b" " + text.lower().encode().translate(L._FOLD) + b" "
+    n, bits = len(a) - 2, model.code.shape[1]
+    sums = [0.0] * bits
+    for i in range(n):
+        gram = a[i] | a[i + 1] << 8 | a[i + 2] << 16
+        bucket = (gram * 2654435761 % 2**32) >> (32 - L.BUCKET_BITS)
+        for k in range(bits):
+            sums[k] += float(model.weights[bucket, k])
+    margins = [float(model.scale[0][k]) * sums[k] / n * math.sqrt(math.log1p(n)) + float(model.scale[1][k]) for k in range(bits)]
+    losses = [sum(float(model.loss[k]) * math.log1p(math.exp(-model.code[j, k] * margins[k])) for k in range(bits)) for j in range(len(model.langs))]
+    best = min(range(len(losses)), key=lambda j: (losses[j], j))
+    return model.langs[best], 1 / sum(math.exp(losses[best] - x) for x in losses)
+
+
+def test_predictions_equal_a_plain_decoder(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = L.fit(docs)
+    long = " ".join(["Der Zug fährt heute nicht nach Köln, sagte sie."] * 4000)
+    odd = spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 2, "1234 !?"), (10**6 + 3, "漢字"), (10**6 + 4, long), (10**6 + 5, "é")], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(odd)
+    got = {r["doc_id"]: r for r in L.predict(rows, model).collect()}
+    for r in rows.collect():
+        if len(r["text"] or "") > 20_000 and r["doc_id"] < 10**6:
+            continue
+        lang, score = plain_predict(model, r["text"])
+        assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == (lang, pytest.approx(score, abs=1e-4)), r["doc_id"]
+    assert got[10**6 + 4]["lang_pred"] == "de"
