@@ -1,19 +1,25 @@
 """Staging of intermediate results in the folder that a cluster shares.
 
 Lineage is cut only through reliable storage: ``spark.checkpoint.dir`` as the
-session names it, or a folder of our own where the session names none (local
-mode, tests).
+session names it. Where it names none, a folder of our own is set in local mode;
+on a cluster, whose executors couldn't share that, RuntimeError is raised.
+
+What is checkpointed or staged inside ``scratch`` is deleted at its end.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     own = sc.getCheckpointDir()
     if not own:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(f"{_SETTING} must name a folder that the cluster shares")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="plinth-checkpoints-"))
         own = sc.getCheckpointDir()
     return own.rstrip("/")
@@ -32,12 +40,35 @@ def shared_dir(spark: SparkSession) -> str:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage, in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    held = _scratch.get()
+    if held is not None:
+        file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            held.append(file.get())
+    return out
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/plinth-staged/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/plinth-staged/{label}-{uuid.uuid4().hex}"
+    held = _scratch.get()
+    if held is not None:
+        held.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end what is checkpointed or staged inside; what is made of it must have been written by then."""
+    held: list[str] = []
+    token = _scratch.set(held)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in held:
+            remove_path(spark, path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
