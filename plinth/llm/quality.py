@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm.texts import WORD, spaces_sql
-from plinth.storage import broadcast_within, checkpoint
+from plinth.storage import broadcast_within, checkpoint, staging_path
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -97,14 +97,14 @@ def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "base_f
 
 
 def _with_verdicts(judged: DataFrame, hosts: DataFrame) -> DataFrame:
-    hosts = checkpoint(hosts.select("host", "host_rejected"))
+    hosts = checkpoint(hosts.select("host", "rate", "low", "host_rejected"))
     hosts = broadcast_within(hosts, hosts.count(), BROADCAST_HOSTS).alias("h")
     joined = judged.alias("d").join(hosts, F.expr("d.source <=> h.host"), "left")
-    return joined.select("d.*", (~F.col("d.base_failed") & ~F.coalesce(F.col("h.host_rejected"), F.lit(False))).alias("kept"))
+    return joined.select("d.*", (~F.col("d.base_failed") & ~F.coalesce(F.col("h.host_rejected"), F.lit(False))).alias("kept"), "h.rate", "h.low")
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, source, the counts, base_failed and kept of every document."""
+    """doc_id, source, the counts, base_failed, kept, and the host's rate and low, of every document."""
     judged = checkpoint(counts(docs.select("doc_id", "text", "source")).drop("text"))
     return _with_verdicts(judged, host_verdicts(judged))
 
@@ -112,16 +112,20 @@ def judge(docs: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with the columns they came with.
 
-    Texts are read twice, once for the counts by host and once to decide, and
-    are never shuffled.
+    Texts are read and counted once: the rows that pass the rules are staged, and
+    for the others their source alone, from which the hosts are summed; the rows
+    of rejected hosts then go as the staged rows are read. No text is shuffled.
     """
-    own = docs.select(F.struct("*").alias("__row"), "text", "source")
-    hosts = host_verdicts(counts(own.select("text", "source")).select("source", "base_failed"))
-    return _with_verdicts(counts(own), hosts).where("kept").select("__row.*")
+    spark = docs.sparkSession
+    judged = counts(docs.select(F.struct("*").alias("__row"), "text", "source"))
+    path = staging_path(spark, "quality")
+    judged.select("source", "base_failed", F.when(~F.col("base_failed"), F.col("__row")).alias("__row")).write.parquet(path)
+    staged = spark.read.parquet(path)
+    return _with_verdicts(staged.where("NOT base_failed"), host_verdicts(staged.select("source", "base_failed"))).where("kept").select("__row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", *COUNTS, "base_failed", "kept")
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", *COUNTS, "base_failed", "kept", F.round("rate", 6).alias("rate"), F.round("low", 6).alias("low"))
 
 
 ORACLE = rf"""
@@ -157,6 +161,7 @@ WITH w AS (
   SELECT source, (f + k * p) / (n + k) AS rate, n + k + 1 AS s FROM h, pr
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (rate - {Z} * sqrt(rate * (1 - rate) / s) > {MAX_HOST_RATE}) AS kept
+  NOT base_failed AND NOT (rate - {Z} * sqrt(rate * (1 - rate) / s) > {MAX_HOST_RATE}) AS kept,
+  round(rate, 6) AS rate, round(rate - {Z} * sqrt(rate * (1 - rate) / s), 6) AS low
 FROM c LEFT JOIN v ON c.source IS NOT DISTINCT FROM v.source
 """
