@@ -14,6 +14,7 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 Geometry = list[list[np.ndarray]]
@@ -339,26 +340,49 @@ def bad_holes(g: Geometry | None, polygons_only: bool = True) -> int:
     return count
 
 
-def _odd_pieces(g: Geometry) -> list[tuple[tuple, tuple]]:
-    """Edges split where they meet others; of pieces that lie on each other an odd number leaves one; each runs with the odd side on its left."""
-    e = _edges_of(g)
-    t, u, cross, off = _crossings(e, e)
+def _split(e: np.ndarray) -> dict[tuple, int]:
+    """Edges cut where they meet others: pieces (lower end first) and how many lie on each."""
     pieces: dict[tuple, int] = {}
-    for k in range(len(e)):
-        a, d = e[k, :2], e[k, 2:] - e[k, :2]
-        cuts = [0.0, 1.0, *t[k][(cross[k] != 0) & (t[k] > 0) & (t[k] < 1) & (u[k] >= 0) & (u[k] <= 1)]]
-        for j in np.flatnonzero((cross[k] == 0) & (off[k] == 0)):
-            cuts += [s for s in (((e[j, m : m + 2] - a) @ d) / (d @ d) for m in (0, 2)) if 0 < s < 1]
-        ends = [tuple(x) for x in np.round(a + np.unique(cuts)[:, None] * d, 9).tolist()]
-        for p, q in zip(ends, ends[1:], strict=False):
-            if p != q:
-                key = (min(p, q), max(p, q))
-                pieces[key] = pieces.get(key, 0) + 1
+    for at in range(0, len(e), 256):
+        some = e[at : at + 256]
+        t, u, cross, off = _crossings(some, e)
+        for k in range(len(some)):
+            a, d = some[k, :2], some[k, 2:] - some[k, :2]
+            cuts = [0.0, 1.0, *t[k][(cross[k] != 0) & (t[k] > 0) & (t[k] < 1) & (u[k] >= 0) & (u[k] <= 1)]]
+            for j in np.flatnonzero((cross[k] == 0) & (off[k] == 0)):
+                cuts += [s for s in (((e[j, m : m + 2] - a) @ d) / (d @ d) for m in (0, 2)) if 0 < s < 1]
+            ends = [tuple(x) for x in np.round(a + np.unique(cuts)[:, None] * d, 9).tolist()]
+            for p, q in zip(ends, ends[1:], strict=False):
+                if p != q:
+                    key = (min(p, q), max(p, q))
+                    pieces[key] = pieces.get(key, 0) + 1
+    return pieces
+
+
+def _beside(p: tuple, q: tuple, side: int) -> tuple[float, float]:
+    """A point just to the left (side 1) or right (-1) of the middle of a piece."""
+    dx, dy = q[0] - p[0], q[1] - p[1]
+    return (p[0] + q[0]) / 2 - side * 1e-7 * dy, (p[1] + q[1]) / 2 + side * 1e-7 * dx
+
+
+def _odd_pieces(g: Geometry) -> list[tuple[tuple, tuple]]:
+    """Of pieces that lie on each other an odd number leaves one; each runs with the odd side on its left."""
+    odd = [piece for piece, n in _split(_edges_of(g)).items() if n % 2]
+    return [(p, q) if contains_point(g, *_beside(p, q, 1)) else (q, p) for p, q in odd]
+
+
+def _outer_pieces(geometries: list[Geometry]) -> list[tuple[tuple, tuple]]:
+    """The pieces with a covered and an open side; each runs with the covered side on its left."""
+    e = np.concatenate([_edges_of(g) for g in geometries])
+    boxes = [(lambda x: (*x.min(axis=0), *x.max(axis=0)))(np.concatenate([r for p in g for r in p])) for g in geometries]
+
+    def covered(x: float, y: float) -> bool:
+        return any(b[0] <= x <= b[2] and b[1] <= y <= b[3] and contains_point(g, x, y) for g, b in zip(geometries, boxes, strict=True))
+
     out = []
-    for (p, q), n in pieces.items():
-        if n % 2:
-            dx, dy = q[0] - p[0], q[1] - p[1]
-            left = contains_point(g, (p[0] + q[0]) / 2 - 1e-7 * dy, (p[1] + q[1]) / 2 + 1e-7 * dx)
+    for p, q in _split(e):
+        left, right = covered(*_beside(p, q, 1)), covered(*_beside(p, q, -1))
+        if left != right:
             out.append((p, q) if left else (q, p))
     return out
 
@@ -403,24 +427,60 @@ def _loops(pieces: list[tuple[tuple, tuple]]) -> list[list[tuple]]:
     return [x for x in out if len(x) >= 4 and _signed_area(x) != 0]
 
 
-def repair(g: Geometry | None) -> Geometry | None:
-    """A valid geometry that covers the points of odd parity; None if nothing is left."""
-    if g is None or is_valid(g):
-        return g
-    if not len(_edges_of(g)):
-        return None
-    loops = _loops(_odd_pieces(g))
+def _assembled(pieces: list[tuple[tuple, tuple]]) -> Geometry | None:
+    """The polygons that directed pieces bound: loops to the left are shells, others holes of the smallest shell around them."""
+    loops = _loops(pieces)
     shells = [[np.array(x)] for x in loops if _signed_area(x) > 0]
     for x in loops:
         if _signed_area(x) < 0:
-            (ax, ay), (bx, by) = x[0], x[1]
-            inside = ((ax + bx) / 2 - 1e-7 * (by - ay), (ay + by) / 2 + 1e-7 * (bx - ax))
-            around = [s for s in shells if contains_point([[s[0]]], *inside)]
+            around = [s for s in shells if contains_point([[s[0]]], *_beside(x[0], x[1], 1))]
             if around:
                 min(around, key=lambda s: _ring_area(s[0])).append(np.array(x))
     return shells or None
 
 
+def repair(g: Geometry | None) -> Geometry | None:
+    """A valid geometry that covers the points of odd parity; None if nothing is left."""
+    if g is None or is_valid(g):
+        return g
+    return _assembled(_odd_pieces(g)) if len(_edges_of(g)) else None
+
+
+def union(geometries: list[Geometry]) -> Geometry | None:
+    """One geometry that covers what any of them covers; None if nothing is covered. One geometry is taken as it is."""
+    some = [g for g in geometries if g]
+    if not some:
+        return None
+    return some[0] if len(some) == 1 else _assembled(_outer_pieces(some))
+
+
+def clip(g: Geometry, minx: float, miny: float, maxx: float, maxy: float) -> Geometry:
+    """The part of a geometry within a box, for measuring areas: rings may run back and forth along the box."""
+
+    def cut(r: np.ndarray, axis: int, edge: float, sign: int) -> np.ndarray:
+        side = sign * (r[:, axis] - edge)
+        out = []
+        for k in range(len(r) - 1):
+            if side[k] >= 0:
+                out.append(r[k])
+            if side[k] * side[k + 1] < 0:
+                at = r[k] + side[k] / (side[k] - side[k + 1]) * (r[k + 1] - r[k])
+                at[axis] = edge
+                out.append(at)
+        return np.array([*out, out[0]]) if len(out) >= 3 else np.empty((0, 2))
+
+    polygons = []
+    for p in g:
+        rings = []
+        for r in p:
+            for axis, edge, sign in ((0, minx, 1), (0, maxx, -1), (1, miny, 1), (1, maxy, -1)):
+                r = cut(r, axis, edge, sign) if len(r) else r
+            rings.append(r)
+        if len(rings[0]):
+            polygons.append([r for r in rings if len(r)])
+    return polygons
+
+
 def _udf(kind: str, f, *, nulls=None):
     """A vectorised UDF over WKB columns; ``nulls`` where a geometry is missing."""
 
@@ -511,3 +571,51 @@ def st_union_area(column):
         return pd.Series([union_area(gs) if gs else None for gs in found], dtype="float64")
 
     return F.pandas_udf(run, "double")(column)
+
+
+def st_union(column):
+    """Of an array of WKB: one WKB that covers what any covers; null if none is left."""
+
+    def run(s: pd.Series) -> pd.Series:
+        found = ([g for x in (xs if xs is not None else []) if (g := from_wkb(x))] for xs in s)
+        return pd.Series([to_wkb(union(gs)) for gs in found], dtype=object)
+
+    return F.pandas_udf(run, "binary")(column)
+
+
+def st_clip(column, cx, cy, size):
+    """The part of a WKB in the grid cell (cx, cy) of cells of a size (a column); null if nothing of it is there."""
+
+    def run(a: pd.Series, x: pd.Series, y: pd.Series, w: pd.Series) -> pd.Series:
+        out = []
+        for data, i, j, d in zip(a, x, y, w, strict=True):
+            g = from_wkb(data)
+            part = clip(g, i * d, j * d, (i + 1) * d, (j + 1) * d) if g else None
+            out.append(to_wkb(part) if part else None)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "binary")(column, cx, cy, size)
+
+
+def st_pair_measures(a, b):
+    """Struct (dist, inter) of two WKB: their distance and the area they share, from one parse."""
+
+    def run(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, y in zip(left, right, strict=True):
+            g, h = from_wkb(x), from_wkb(y)
+            d = distance(g, h) if g is not None and h is not None else None
+            out.append((d, None if d is None else intersection_area(g, h) if d == 0 else 0.0))
+        return pd.DataFrame(out, columns=["dist", "inter"], dtype="float64")
+
+    return F.pandas_udf(run, "dist double, inter double")(a, b)
+
+
+def geometry_to_wkb(column):
+    """The nested arrays that ``plinth.functions.geometry`` measures, as WKB."""
+
+    def run(a: pa.Array) -> pa.Array:
+        found = a.to_pylist()
+        return pa.array([None if g is None else to_wkb([[np.array([(p["x"], p["y"]) for p in r]) for r in polygon] for polygon in g]) for g in found], pa.binary())
+
+    return F.arrow_udf(run, "binary")(column)

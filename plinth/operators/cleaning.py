@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.functions import geometry as geo
+from plinth.functions import kernels
+from plinth.storage import checkpoint
+
 MIN_AREA = 15.0
 MAX_FLOOR_HEIGHT = 10.0
 CLEAN, REPAIRED, DROPPED = "clean", "repaired", "dropped"
@@ -118,19 +122,58 @@ def relevant_only(df: DataFrame) -> DataFrame:
     return df.where("is_relevant_building") if "is_relevant_building" in df.columns else df
 
 
-def clean_a(raw: DataFrame, irrelevant: str, duplicate_key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(clean rows, audit) of source A, whose geometry is measured."""
-    kept, small = drop_small(begin(raw))
+def parse_geometry(df: DataFrame, wkt: str, degrees: bool = True) -> DataFrame:
+    """Add what cleaning needs of a WKT column, in one pass that is kept: ``wkb`` (repaired where that was needed),
+    ``parsed``, ``was_valid``, ``repaired``, ``holes`` (bad ones) and ``area`` (of Web Mercator where the text is in degrees)."""
+    out = df.withColumn("wkb", kernels.wkt_to_wkb(F.col(wkt)))
+    out = out.withColumns({"parsed": F.col("wkb").isNotNull(), "was_valid": kernels.st_is_valid(F.col("wkb"))})
+    out = out.withColumn("wkb", F.when(F.col("was_valid"), F.col("wkb")).otherwise(kernels.st_repair(F.col("wkb"))))
+    out = out.withColumns({"repaired": ~F.col("was_valid") & F.col("wkb").isNotNull(), "holes": kernels.st_bad_holes(F.col("wkb")), "__g": kernels.wkb_to_geometry(F.col("wkb"))})
+    if degrees:
+        out = out.withColumn("__g", geo.to_mercator("__g"))
+    return checkpoint(out.withColumn("area", geo.area("__g")).drop("__g"))
+
+
+def clean_geometry(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept rows, audit) of ``parse_geometry``'s rows: WKT that can't be parsed, geometries that can't be repaired and
+    polygons with bad holes go. A repair of the geometry sets neither status nor flag; ``repaired`` tells of it."""
+    kept, broken = split(parsed, F.when(~F.col("parsed"), "broken_wkt"))
+    kept, invalid = drop_null(kept, "wkb", "invalid_geometry")
+    kept, holed = split(kept, F.when(F.col("holes") > 0, "invalid_holes"))
+    return kept, broken.unionByName(invalid).unionByName(holed)
+
+
+def geometry_counts(parsed: DataFrame) -> DataFrame:
+    """One row: rows, and how many were unparsable, empty, invalid, repaired, and with bad holes."""
+    shape = kernels.wkb_to_geometry(F.col("wkb"))
+    rows = parsed.select("parsed", "was_valid", "repaired", "holes", (F.size(shape) == 0).alias("empty"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(~F.col("parsed")).alias("broken_wkt"), F.count_if("empty").alias("empty_geometry"), F.count_if(F.col("parsed") & ~F.col("was_valid")).alias("invalid_geometry"),
+        F.count_if("repaired").alias("repaired_geometry"), F.count_if(F.col("holes") > 0).alias("invalid_holes"),
+    )
+
+
+def _begin(raw: DataFrame, wkt: str | None, degrees: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows with status columns, audit of bad geometries): with ``wkt``, geometry is parsed, judged and measured; else rows come measured."""
+    rows = begin(raw, "__at").drop("__at") if "__at" in raw.columns else begin(raw)
+    return clean_geometry(parse_geometry(rows, wkt, degrees)) if wkt else (rows, rows.select(*AUDIT).limit(0))
+
+
+def clean_a(raw: DataFrame, irrelevant: str, duplicate_key: list[str], wkt: str | None = None, degrees: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(clean rows, audit) of source A; ``wkt`` names the column of WKT, without which rows come with their area."""
+    kept, shapes = _begin(raw, wkt, degrees)
+    kept, small = drop_small(kept)
     kept, twice = drop_duplicates(swap_floors(kept), duplicate_key)
-    return relevance(kept, irrelevant), small.unionByName(twice)
+    return relevance(kept, irrelevant), shapes.unionByName(small).unionByName(twice)
 
 
-def clean_b(raw: DataFrame, irrelevant: str, duplicate_key: list[str]) -> tuple[DataFrame, DataFrame]:
+def clean_b(raw: DataFrame, irrelevant: str, duplicate_key: list[str], wkt: str | None = None, degrees: bool = True) -> tuple[DataFrame, DataFrame]:
     """(clean rows, audit) of source B. Zero floor heights are filled before outliers are judged."""
-    kept, small = drop_small(begin(raw))
+    kept, shapes = _begin(raw, wkt, degrees)
+    kept, small = drop_small(kept)
     kept, bad = drop_outliers(fill_floor_height(kept))
     kept, twice = drop_duplicates(kept, duplicate_key)
-    return relevance(fill_stairs(fill_purpose(kept)), irrelevant), small.unionByName(bad).unionByName(twice)
+    return relevance(fill_stairs(fill_purpose(kept)), irrelevant), shapes.unionByName(small).unionByName(bad).unionByName(twice)
 
 
 def summary(source: str, raw: DataFrame, clean: DataFrame, audit: DataFrame) -> DataFrame:

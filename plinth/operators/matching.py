@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.functions import geometry as geo
+from plinth.functions import kernels
 from plinth.functions.numeric import ratio
 from plinth.operators.graph import connected_components
+from plinth.operators.neighbors import neighbor_features
 from plinth.operators.ranking import running_total
-from plinth.operators.spatial_join import box_join
+from plinth.operators.spatial_join import BOX, MOST_CELLS, box_join, cell_size, own_level
 from plinth.storage import checkpoint
 
 BUFFER_M = 0.5
@@ -38,6 +41,25 @@ def candidate_pairs(a: DataFrame, b: DataFrame, reach: float = BUFFER_M) -> Data
     return box_join(a, b, CELL_M, reach).where(box_distance() <= reach)
 
 
+def shapes(df: DataFrame, degrees: bool = True, zone: int = 35) -> DataFrame:
+    """Add the measures that matching needs of ``wkb``, in UTM metres where it is in degrees: wkb itself, box, area, perimeter, cx, cy."""
+    out = df.withColumn("__g", kernels.wkb_to_geometry(F.col("wkb")))
+    if degrees:
+        out = out.withColumn("__m", geo.to_mercator("__g")).withColumn("__g", geo.mercator_to_utm("__m", zone)).drop("__m").withColumn("wkb", kernels.geometry_to_wkb(F.col("__g")))
+    out = out.withColumns({"__box": geo.bounds("__g"), "__c": geo.centroid("__g"), "area": geo.area("__g"), "perimeter": geo.perimeter("__g")})
+    return out.withColumns({**{c: F.col(f"__box.{c}") for c in BOX}, "cx": F.col("__c.x"), "cy": F.col("__c.y")}).drop("__g", "__box", "__c")
+
+
+def polygon_pairs(a: DataFrame, b: DataFrame, reach: float = BUFFER_M) -> DataFrame:
+    """Pairs (l, r) of polygons at most ``reach`` apart, with their ``dist`` and the area ``inter`` that they share.
+
+    A buffer of A of that width meets B exactly then. Boxes are tested before the kernel.
+    """
+    pairs = box_join(a, b, CELL_M, reach).where(box_distance() <= reach)
+    found = checkpoint(pairs.withColumn("__m", kernels.st_pair_measures(F.col("l.wkb"), F.col("r.wkb"))))
+    return found.where(F.col("__m.dist") <= reach).select("l", "r", F.col("__m.dist").alias("dist"), F.col("__m.inter").alias("inter"))
+
+
 def pair_metrics(pairs: DataFrame, inter: Column | None = None, dist: Column | None = None) -> DataFrame:
     """Overlap metrics of candidate pairs.
 
@@ -158,3 +180,89 @@ def geometry_source(area_a: str = "union_area_a", area_b: str = "union_area_b")
     a, b = F.col(area_a), F.col(area_b)
     alike = F.when(F.greatest(a, b) > 0, F.least(a, b) / F.greatest(a, b)).otherwise(0.0)
     return F.when(a.isNull() & b.isNull(), "none").when(b.isNull(), "A").when(a.isNull(), "B").when((F.col("match_type") == "1:1") | (alike >= 0.70), "B").otherwise("A")
+
+
+def union_areas(members: DataFrame, polygons: DataFrame) -> DataFrame:
+    """By component: the area that its members of A, of B, and all of them cover; null where there are none.
+
+    ``polygons`` has uid, area, wkb and box. Components of one member take its
+    area. The others' polygons are cut by grid cells of a size at which none of
+    them covers more than MOST_CELLS, and a component's area is the sum of its
+    cells' areas: so a component of any size is measured cell by cell, in which
+    equal parts count once.
+    """
+    rows = checkpoint(members.select("component_id", "src", "uid").join(polygons.select("uid", "area", "wkb", *BOX), "uid"))
+    sizes = rows.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("src") == "A").alias("n_a"), F.count_if(F.col("src") == "B").alias("n_b"), F.max(own_level(CELL_M, MOST_CELLS)).alias("level"), F.first("area").alias("own"))
+    sizes = checkpoint(sizes)
+    listed = rows.join(sizes.where("n > 1").select("component_id", "level"), "component_id").withColumn("__size", cell_size(CELL_M, F.col("level")))
+    for axis in "xy":
+        listed = listed.withColumn(f"c{axis}", F.explode(F.sequence(F.floor(F.col(f"min{axis}") / F.col("__size")), F.floor(F.col(f"max{axis}") / F.col("__size")))))
+    parts = listed.withColumn("part", kernels.st_clip(F.col("wkb"), F.col("cx"), F.col("cy"), F.col("__size")))
+    # A set, so that copies of a polygon don't crowd a cell.
+    cells = parts.groupBy("component_id", "cx", "cy").agg(*(F.collect_set(F.when(F.col("src") == s, F.col("part"))).alias(s) for s in "AB"))
+    cells = cells.select("component_id", *(kernels.st_union_area(c).alias(n) for n, c in (("a", F.col("A")), ("b", F.col("B")), ("all", F.concat("A", "B")))))
+    sums = cells.groupBy("component_id").agg(*(F.sum(c).alias(f"__{c}") for c in ("a", "b", "all")))
+    out = sizes.join(sums, "component_id", "left")
+    one = F.col("n") == 1
+    return out.select(
+        "component_id",
+        *(F.when(F.col(f"n_{s}") > 0, F.when(one, F.col("own")).otherwise(F.coalesce(f"__{s}", F.lit(0.0)))).alias(f"union_area_{s}") for s in "ab"),
+        F.when(one, F.col("own")).otherwise(F.coalesce("__all", F.lit(0.0))).alias("union_area_all"),
+    )
+
+
+def representatives(members: DataFrame, polygons: DataFrame, sources: DataFrame) -> DataFrame:
+    """component_id, rep_geometry (WKB), cx and cy: the union of the members on the side that ``sources`` (component_id, geometry_source) names.
+
+    A component's geometry is one value and so is made in one task; equal polygons enter once.
+    """
+    rows = members.select("component_id", "src", "uid").join(sources, "component_id").where("src = geometry_source").join(polygons.select("uid", "wkb"), "uid")
+    merged = checkpoint(rows.groupBy("component_id").agg(F.collect_set("wkb").alias("parts")).select("component_id", kernels.st_union(F.col("parts")).alias("rep_geometry")))
+    out = merged.withColumn("__g", kernels.wkb_to_geometry(F.col("rep_geometry"))).withColumn("__c", geo.centroid("__g"))
+    return out.select("component_id", "rep_geometry", F.col("__c.x").alias("cx"), F.col("__c.y").alias("cy"))
+
+
+_NEAR = [f"{n}_{r}m" for r in (50, 100) for n in ("n_neighbors", "n_neighbors_obs_height", *(f"neighbor_height_{s}" for s in ("mean", "median", "min", "max", "std", "q25", "q75")))]
+# The final table's columns in order.
+FINAL_COLUMNS = [
+    "component_id", "match_type", "match_confidence", "geometry_source",
+    "target_height", "target_height_is_observed", "target_height_source", "target_height_source_detail", "target_height_reliability",
+    "n_a", "n_b", "uids_a", "uids_b",
+    "n_edges_ab", "max_iou", "mean_iou", "max_overlap_a", "max_overlap_b", "min_dist_m",
+    "sum_area_a", "sum_area_b", "union_area_a", "union_area_b", "union_area_all",
+    "n_b_with_height", "median_height_b", "median_stairs_b", "median_avg_floor_height_b", "mode_purpose_b",
+    *_NEAR, "rep_geometry",
+]
+
+
+def ordered(df: DataFrame, main: list[str]) -> DataFrame:
+    """The main columns in their order, then the others as they come."""
+    return df.select(*main, *(c for c in df.columns if c not in main))
+
+
+def final_table(a: DataFrame, b: DataFrame, members: DataFrame, edges: DataFrame) -> DataFrame:
+    """A row a building: FINAL_COLUMNS, then the representative's centroid (cx, cy).
+
+    ``a`` and ``b`` are the sources with uid, shapes and attributes, ``edges`` the pairs that hold.
+    """
+    polygons = checkpoint(a.select("uid", "area", "wkb", *BOX).unionByName(b.select("uid", "area", "wkb", *BOX)))
+    table = component_table(members, edges).join(b_attributes(members, b), "component_id", "left").join(sum_areas(members, a, b), "component_id")
+    table = targets(table.join(union_areas(members, polygons), "component_id")).withColumn("geometry_source", geometry_source())
+    table = checkpoint(table.withColumn("n_b_with_height", F.coalesce("n_b_with_height", F.lit(0))))
+    table = checkpoint(table.join(representatives(members, polygons, table.select("component_id", "geometry_source")), "component_id", "left"))
+    near = neighbor_features(table.select("component_id", "target_height", "cx", "cy"))
+    return ordered(table.join(near, "component_id"), FINAL_COLUMNS)
+
+
+def matched(table: DataFrame) -> DataFrame:
+    """The components that have members of both sources."""
+    return table.where(~F.col("match_type").isin("A_only", "B_only"))
+
+
+def summary(table: DataFrame) -> DataFrame:
+    """One row: components, those of both sources, of A and of B only, and with an observed height."""
+    kind = F.col("match_type")
+    return table.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(~kind.isin("A_only", "B_only")).alias("matched"), F.count_if(kind == "A_only").alias("a_only"),
+        F.count_if(kind == "B_only").alias("b_only"), F.count("median_height_b").alias("with_height"),
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions.numeric import number
+from plinth.operators.ranking import quantiles
 
 
 def existing(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -37,12 +38,14 @@ def null_share(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def describe(df: DataFrame, columns: list[str], percentiles: list[float] | None = None) -> DataFrame:
     """A row a column: count, mean, std (ddof 1), min, the exact percentiles asked for and p50, max."""
     ps = sorted({*(percentiles or [0.25, 0.5, 0.75]), 0.5})
-    parts = []
-    for c in columns:
+    parts, measures = [], []
+    for k, c in enumerate(columns):
         v = number(c)
-        q = F.percentile(v, F.array(*map(F.lit, ps)))
-        parts.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), *(q[k].alias(percent(p)) for k, p in enumerate(ps)), F.max(v).alias("max")))
-    return df.agg(F.array(*parts).alias("rows")).select(F.inline("rows"))
+        measures += [F.count(v).alias(f"n{k}"), F.avg(v).alias(f"m{k}"), F.stddev_samp(v).alias(f"s{k}"), F.min(v).alias(f"lo{k}"), F.max(v).alias(f"hi{k}")]
+        q = [F.col(f"q{k}")[i].alias(percent(p)) for i, p in enumerate(ps)]
+        parts.append(F.struct(F.lit(c).alias("column"), F.col(f"n{k}").alias("count"), F.col(f"m{k}").alias("mean"), F.col(f"s{k}").alias("std"), F.col(f"lo{k}").alias("min"), *q, F.col(f"hi{k}").alias("max")))
+    one = df.agg(*measures).crossJoin(quantiles(df, {f"q{k}": (number(c), ps) for k, c in enumerate(columns)}))  # a row each
+    return one.select(F.array(*parts).alias("rows")).select(F.inline("rows"))
 
 
 def percent(p: float) -> str:
@@ -53,7 +56,9 @@ def percent(p: float) -> str:
 def describe5(df: DataFrame, column: str) -> DataFrame:
     """mean, median, min, max and std (ddof 0) of what is a number."""
     v = number(column)
-    return df.agg(*(F.coalesce(f, F.lit(0.0)).alias(n) for n, f in (("mean", F.avg(v)), ("median", F.median(v)), ("min", F.min(v)), ("max", F.max(v)), ("std", F.stddev_pop(v)))))
+    one = df.agg(F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"))
+    one = one.crossJoin(quantiles(df, {"q": (v, [0.5])})).withColumn("median", F.col("q")[0])  # a row each
+    return one.select(*(F.coalesce(n, F.lit(0.0)).alias(n) for n in ("mean", "median", "min", "max", "std")))
 
 
 def duplicates_audit(df: DataFrame, key: str) -> DataFrame:
@@ -124,7 +129,7 @@ def histogram(df: DataFrame, column: str, bins: int, left_closed: bool = False)
 
 def clipped(df: DataFrame, column: str, q: float = 0.99) -> DataFrame:
     """The rows up to the column's exact quantile q."""
-    edge = df.agg(F.percentile(number(column), F.lit(q)).alias("__edge"))
+    edge = quantiles(df, {"__q": (number(column), [q])}).select(F.col("__q")[0].alias("__edge"))
     return df.crossJoin(F.broadcast(edge)).where(F.col(column) <= F.col("__edge")).drop("__edge")
 
 

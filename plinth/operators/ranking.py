@@ -30,3 +30,42 @@ def running_total(df: DataFrame, order: list[Column], totals: dict[str, str | Co
     local = dealt.withColumns({n: F.coalesce(F.sum(f"__v_{n}").over(upto), F.lit(0)) for n in values})
     out = local.join(F.broadcast(starts), pid)
     return out.withColumns({n: F.col(n) + F.col(f"__o_{n}") for n in values}).drop(pid, *(f"__{k}_{n}" for k in "vo" for n in values))
+
+
+#: Distinct values up to which an aggregate may hold a column's counts in one task.
+MOST_DISTINCT = 500_000
+
+
+def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]], most: int = MOST_DISTINCT) -> DataFrame:
+    """One row: for each name, the array of exact interpolated quantiles of its column; nulls where it has no value.
+
+    Spark's exact percentile keeps a count a distinct value in one task. It is
+    used for columns of few distinct values; of the others the values are
+    counted, dealt by range and ranked by a running total, and only the rows
+    that hold the wanted ranks leave their tasks. ``df`` is read once a column.
+    """
+    found = df.agg(*(F.approx_count_distinct(v).alias(n) for n, (v, _) in wanted.items())).first().asDict() if wanted else {}
+    few = {n: w for n, w in wanted.items() if found[n] <= most}
+    out = df.agg(F.lit(1).alias("__one"), *(F.percentile(v, F.array(*(F.lit(float(q)) for q in qs))).alias(n) for n, (v, qs) in few.items()))
+    for n, (v, qs) in wanted.items():
+        if n not in few:
+            out = out.crossJoin(_ranked(df.select(v.cast("double").alias("v")).where("v IS NOT NULL"), qs).withColumnRenamed("q", n))  # a row each
+    return out.select(*wanted)
+
+
+def _ranked(values: DataFrame, qs: list[float]) -> DataFrame:
+    """One row, q: the exact quantiles of the column v."""
+    counts = checkpoint(values.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
+    n = counts.agg(F.sum("n")).first()[0] or 0
+    places = [q * (n - 1) for q in qs]
+    ranks = sorted({int(f) for p in places for f in (p // 1, -(-p // 1))})
+    held = running_total(counts, [F.col("v")], {"before": "n"})
+    at = F.filter(F.array(*(F.lit(r).cast("long") for r in ranks)), lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
+    by_rank = held.select("v", F.explode(at).alias("r")).agg(F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("m"))  # two rows a quantile
+
+    def value(p: float) -> Column:
+        low, high = int(p // 1), int(-(-p // 1))
+        a, b = (F.col("m")[F.lit(k).cast("long")] for k in (low, high))
+        return a + (b - a) * F.lit(p - low) if high > low else a
+
+    return by_rank.select(F.array(*(value(p) for p in places)).alias("q"))

@@ -29,9 +29,9 @@ Sheet = tuple[str, str, str, DataFrame]
 
 
 def measured(df: DataFrame, wkt: str) -> DataFrame:
-    """Add wkb, its geometry in Web Mercator, and all measures; null where the WKT can't be parsed."""
+    """Add wkb, its geometry in Web Mercator (g, and as wkb_m), and all measures; null where the WKT can't be parsed."""
     out = df.withColumn("wkb", kernels.wkt_to_wkb(F.col(wkt))).withColumn("g4326", kernels.wkb_to_geometry(F.col("wkb")))
-    out = out.withColumn("g", geo.to_mercator("g4326")).withColumns({"geom_area_m2": geo.area("g"), "perimeter_m": geo.perimeter("g"), "c": geo.centroid("g"), "box": geo.bounds("g"), "geom_type": geo.geom_type("g4326")})
+    out = out.withColumn("g", geo.to_mercator("g4326")).withColumns({"wkb_m": kernels.geometry_to_wkb(F.col("g")), "geom_area_m2": geo.area("g"), "perimeter_m": geo.perimeter("g"), "c": geo.centroid("g"), "box": geo.bounds("g"), "geom_type": geo.geom_type("g4326")})
     out = out.withColumns({"centroid_x": F.col("c.x"), "centroid_y": F.col("c.y"), "bbox_width_m": F.col("box.maxx") - F.col("box.minx"), "bbox_height_m": F.col("box.maxy") - F.col("box.miny"), **{c: F.col(f"box.{c}") for c in BOX}})
     out = out.withColumn("bbox_area_m2", F.col("bbox_width_m") * F.col("bbox_height_m"))
     return out.withColumns({
@@ -42,8 +42,8 @@ def measured(df: DataFrame, wkt: str) -> DataFrame:
 
 def _overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of measured rows whose shapes meet; boxes first, the kernel after."""
-    cols = ["id", "wkb", "geom_area_m2", *BOX]
-    return box_join(left.select(*cols), right.select(*cols), CELL_M).where(kernels.st_intersects(F.col("l.wkb"), F.col("r.wkb")))
+    cols = ["id", "wkb_m", "geom_area_m2", *BOX]
+    return box_join(left.select(*cols), right.select(*cols), CELL_M).where(kernels.st_intersects(F.col("l.wkb_m"), F.col("r.wkb_m")))
 
 
 def neighbor_counts(sample: DataFrame, full: DataFrame) -> DataFrame:
@@ -56,10 +56,8 @@ def neighbor_counts(sample: DataFrame, full: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, overlap: float = NEAR_OVERLAP) -> DataFrame:
     """Unordered pairs whose shapes each overlap the other by more than ``overlap``."""
     met = _overlaps(df.where("geom_area_m2 > 0"), df.where("geom_area_m2 > 0")).where("l.id < r.id")
-    # Boxes and kernel run in degrees and metres alike: shares of areas need one frame, here that of the WKB.
-    shared = kernels.st_intersection_area(F.col("l.wkb"), F.col("r.wkb"))
-    whole = [kernels.st_union_area(F.array(f"{s}.wkb")) for s in "lr"]
-    out = met.select(F.col("l.id").alias("id_i"), F.col("r.id").alias("id_j"), shared.alias("inter_area"), whole[0].alias("wi"), whole[1].alias("wj"))
+    shared = kernels.st_intersection_area(F.col("l.wkb_m"), F.col("r.wkb_m"))
+    out = met.select(F.col("l.id").alias("id_i"), F.col("r.id").alias("id_j"), shared.alias("inter_area"), F.col("l.geom_area_m2").alias("wi"), F.col("r.geom_area_m2").alias("wj"))
     out = out.select("id_i", "id_j", "inter_area", try_ratio("inter_area", "wi").alias("ratio_i"), try_ratio("inter_area", "wj").alias("ratio_j"))
     return out.where((F.col("ratio_i") > overlap) & (F.col("ratio_j") > overlap))
 
@@ -139,7 +137,7 @@ def eda_book(a: DataFrame, b: DataFrame, order: str = "id") -> list[Sheet]:
         add("invalid_holes", f"holes_{s}_summary", f"bad holes of {s}", p.metrics(df, {"invalid_holes": F.coalesce(F.sum("bad_holes"), F.lit(0))}))
         add("invalid_holes", f"holes_{s}_examples", f"shapes of {s} with bad holes", df.where("bad_holes > 0").select("id", "bad_holes"))
     for s, df in full.items():
-        add("flat_exports", f"flat_{s}_metrics", f"{s} with its measures, without geometry", df.drop("wkb", "g", "g4326", WKT[s]))
+        add("flat_exports", f"flat_{s}_metrics", f"{s} with its measures, without geometry", df.drop("wkb", "wkb_m", "g", "g4326", WKT[s]))
     return out
 
 

@@ -19,12 +19,17 @@ LEVELS = 12
 MOST_CELLS = 64
 
 
+def cell_size(cell: float, level: Column) -> Column:
+    """Width of a grid cell at a level."""
+    return F.lit(float(cell)) * F.pow(F.lit(4.0), level)
+
+
 def _span(cell: float, level: Column, low: str, high: str) -> Column:
-    size = F.lit(float(cell)) * F.pow(F.lit(4.0), level)
+    size = cell_size(cell, level)
     return F.floor(F.col(high) / size) - F.floor(F.col(low) / size) + 1
 
 
-def _own_level(cell: float, most: int) -> Column:
+def own_level(cell: float, most: int) -> Column:
     """The finest level at which the box covers at most ``most`` cells."""
     found = F.lit(LEVELS)
     for level in range(LEVELS - 1, -1, -1):
@@ -34,7 +39,7 @@ def _own_level(cell: float, most: int) -> Column:
 
 def _listed(df: DataFrame, cell: float, levels: Column) -> DataFrame:
     """The rows of ``df`` once for each level and cell they are listed in."""
-    rows = df.withColumn("__level", F.explode(levels)).withColumn("__size", F.lit(float(cell)) * F.pow(F.lit(4.0), F.col("__level")))
+    rows = df.withColumn("__level", F.explode(levels)).withColumn("__size", cell_size(cell, F.col("__level")))
     for axis in "xy":
         span = F.sequence(F.floor(F.col(f"min{axis}") / F.col("__size")), F.floor(F.col(f"max{axis}") / F.col("__size")))
         rows = rows.withColumn(f"__c{axis}", F.explode(span))
@@ -53,7 +58,7 @@ def box_join(left: DataFrame, right: DataFrame, cell: float, reach: float = 0.0,
     for df, name in ((left, "l"), (right, "r")):
         row = df.where(" AND ".join(f"{c} IS NOT NULL" for c in BOX))
         row = row.select(*(F.col(f"`{c}`").alias(f"{name}__{c}") for c in df.columns), *((F.col(c) + (-grown if c.startswith("min") else grown)).alias(c) for c in BOX))
-        sides.append(row.withColumn("__own", _own_level(cell, most)))
+        sides.append(row.withColumn("__own", own_level(cell, most)))
     used = {row["__own"] for side in sides for row in side.select("__own").distinct().collect()}  # LEVELS + 1 rows at most
     out = None
     for at in sorted(used):

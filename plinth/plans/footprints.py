@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.operators import cleaning, matching, neighbors
-from plinth.operators.spatial_join import box_join
 from plinth.plans.fixtures import IRRELEVANT, footprints_a, footprints_b, oracle
 from plinth.storage import checkpoint
 
@@ -143,7 +142,7 @@ CONSISTENCY = oracle(
 )
 
 
-# ---- matching: the flagship's inputs skip relevance and imputation
+# ---- matching of boxes: relevance and imputation are left to the queries over polygons
 
 def match_inputs(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     a, _ = cleaning.drop_small(cleaning.begin(footprints_a(spark, sf_dir)))
@@ -230,14 +229,6 @@ def edges(spark, sf_dir: str) -> DataFrame:
 EDGES = oracle("SELECT uid_a, uid_b, round(iou, 6) AS iou FROM edges", *MATCH)
 
 
-def flagship_match_types(spark, sf_dir: str) -> DataFrame:
-    _, _, edges_, members = _graph(spark, sf_dir)
-    return matching.component_table(members, edges_).groupBy("match_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-FLAGSHIP = oracle("SELECT match_type, count(*) AS n FROM typed GROUP BY match_type", *GRAPH, recursive=True)
-
-
 def graph_components(spark, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir)[3].select("uid", "src", "node", "component_id")
 
@@ -262,7 +253,7 @@ def component_sizes(spark, sf_dir: str) -> DataFrame:
     return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy("size").limit(20)
 
 
-COMPONENT_SIZES = oracle("SELECT size, count(*) AS n FROM (SELECT component_id, count(*) AS size FROM members GROUP BY 1) GROUP BY size ORDER BY size LIMIT 20", *GRAPH, recursive=True)
+COMPONENT_SIZES = oracle("SELECT size, count(*) AS n FROM (SELECT label, count(*) AS size FROM label GROUP BY 1) GROUP BY size ORDER BY size LIMIT 20", *GRAPH[: len(MATCH) + 4], recursive=True)
 
 
 def confidence_reliability(spark, sf_dir: str) -> DataFrame:
@@ -283,36 +274,6 @@ CONFIDENCE_RELIABILITY = oracle(
 )
 
 
-def _nudged(rows: DataFrame) -> DataFrame:
-    """The footprints, and every seventh again half a metre to the right."""
-    rows = rows.select("id", *BOX_KEY, "area")
-    return rows.unionByName(rows.where("id % 7 = 0").withColumns({"id": -F.col("id"), "minx": F.col("minx") + 0.5, "maxx": F.col("maxx") + 0.5}))
-
-
-def near_duplicates(spark, sf_dir: str) -> DataFrame:
-    rows = _nudged(footprints_b(spark, sf_dir)).where("area > 0")
-    met = box_join(rows, rows, matching.CELL_M).where("l.id < r.id").withColumn("inter", matching.box_intersection())
-    both = met.withColumns({"ratio_i": F.col("inter") / F.col("l.area"), "ratio_j": F.col("inter") / F.col("r.area")}).where("ratio_i > 0.8 AND ratio_j > 0.8")
-    return both.select(F.col("l.id").alias("id_i"), F.col("r.id").alias("id_j"), *r6("ratio_i", "ratio_j"))
-
-
-_BOX_TOUCH = "l.minx <= r.maxx AND r.minx <= l.maxx AND l.miny <= r.maxy AND r.miny <= l.maxy"
-_BOX_INTER = "greatest(0.0, least(l.maxx, r.maxx) - greatest(l.minx, r.minx)) * greatest(0.0, least(l.maxy, r.maxy) - greatest(l.miny, r.miny))"
-NEAR_DUPLICATES = oracle(
-    f"SELECT l.id AS id_i, r.id AS id_j, round({_BOX_INTER} / l.area, 6) AS ratio_i, round({_BOX_INTER} / r.area, 6) AS ratio_j FROM nb l JOIN nb r ON l.id < r.id AND {_BOX_TOUCH} "
-    f"WHERE {_BOX_INTER} / l.area > 0.8 AND {_BOX_INTER} / r.area > 0.8",
-    "nb AS (SELECT id, minx, miny, maxx, maxy, area FROM fb UNION ALL SELECT -id, minx + 0.5, miny, maxx + 0.5, maxy, area FROM fb WHERE id % 7 = 0)",
-)
-
-
-def neighbor_counts_self(spark, sf_dir: str) -> DataFrame:
-    rows = footprints_a(spark, sf_dir).select("id", *BOX_KEY)
-    met = box_join(rows, rows, matching.CELL_M)
-    return met.groupBy(F.col("l.id").alias("id")).agg((F.count(F.lit(1)) - 1).alias("n_intersecting"))
-
-
-NEIGHBOR_COUNTS_SELF = oracle(f"SELECT l.id, count(*) - 1 AS n_intersecting FROM fa l JOIN fa r ON {_BOX_TOUCH} GROUP BY l.id")
-
 # ---- neighbourhoods: the points are B's footprints with their heights
 
 FEATURES = [f"{n}_{r}m" for r in neighbors.RADII for n in ("n_neighbors", "n_neighbors_obs_height", *(f"neighbor_height_{s}" for s in neighbors.STATS))]
@@ -348,7 +309,6 @@ NEIGHBOR_INDICATORS = oracle(
 )
 
 QUERIES = {
-    "flagship_match_types": (flagship_match_types, FLAGSHIP),
     "clean_small_area": (small_area, SMALL_AREA),
     "clean_swap_floors": (swap_floors, SWAP_FLOORS),
     "clean_impute_floor_height": (floor_height, FLOOR_HEIGHT),
@@ -361,8 +321,6 @@ QUERIES = {
     "join_candidate_pairs": (candidate_pairs, CANDIDATE_PAIRS),
     "join_pair_metrics": (pair_metrics, PAIR_METRICS),
     "join_edges": (edges, EDGES),
-    "join_neighbor_counts_self": (neighbor_counts_self, NEIGHBOR_COUNTS_SELF),
-    "join_near_duplicates": (near_duplicates, NEAR_DUPLICATES),
     "graph_components": (graph_components, GRAPH_COMPONENTS),
     "graph_component_table": (component_table, COMPONENT_TABLE),
     "graph_component_sizes": (component_sizes, COMPONENT_SIZES),

@@ -12,6 +12,7 @@ from plinth.operators import maplayers, matching, modelling, neighbors, validati
 from plinth.operators import profiling as p
 from plinth.plans import footprints as fp
 from plinth.plans.fixtures import footprints_a, footprints_b, oracle
+from plinth.plans.polygons import CELLS
 from plinth.storage import checkpoint
 
 
@@ -84,44 +85,38 @@ def project_utm(spark, sf_dir: str) -> DataFrame:
     x, y = geo.degrees_to_utm(F.col("lon"), F.col("lat"))
     df = df.withColumns({"easting": x, "northing": y})
     lon, lat = geo.utm_to_degrees(F.col("easting"), F.col("northing"))
-    return df.select("id", *_r("easting", "northing", digits=4), F.round(F.abs(lon - F.col("lon")) + F.abs(lat - F.col("lat")), 8).alias("residue"))
-
-
-def _union_areas(table: DataFrame, a: DataFrame, b: DataFrame, members: DataFrame) -> DataFrame:
-    rows = members.join(a.select("uid", *fp.BOX_KEY).unionByName(b.select("uid", *fp.BOX_KEY)), "uid").withColumn("wkb", kernels.wkt_to_wkb(_wkt_column()))
-    lists = rows.groupBy("component_id").agg(*(F.collect_list(F.when(F.col("src") == s, F.col("wkb"))).alias(s) for s in "AB"), F.collect_list("wkb").alias("ALL"))
-    areas = lists.select("component_id", *(F.round(kernels.st_union_area(F.col(s)), 6).alias(f"union_area_{s.lower()}") for s in ("A", "B", "ALL")))
-    out = areas.join(table.select("component_id", "match_type", "sum_area_a", "sum_area_b"), "component_id")
-    return out.select("component_id", "sum_area_a", "sum_area_b", "union_area_a", "union_area_b", "union_area_all", matching.geometry_source().alias("geometry_source"))
-
-
-def union_area(spark, sf_dir: str) -> DataFrame:
-    """Union areas of components by side and of all members, and the side that represents each."""
-    return _union_areas(*fp.component_features(spark, sf_dir))
+    return df.select("id", *_r("easting", "northing", digits=3), F.round(F.abs(lon - F.col("lon")) + F.abs(lat - F.col("lat")), 8).alias("residue"))
+
+
+def _utm_sql() -> str:
+    """Transverse Mercator by its series, over lam and phi (radians from the central meridian)."""
+    series = {
+        "x": " + ".join(["eta", *(f"{a!r} * cos({2 * k} * xi) * sinh({2 * k} * eta)" for k, a in enumerate(geo._FORWARD, start=1))]),
+        "y": " + ".join(["xi", *(f"{a!r} * sin({2 * k} * xi) * cosh({2 * k} * eta)" for k, a in enumerate(geo._FORWARD, start=1))]),
+    }
+    return (
+        f"SELECT id, round({geo.EASTING!r} + {geo.SCALE * geo._A!r} * ({series['x']}), 3) AS easting, round({geo.SCALE * geo._A!r} * ({series['y']}), 3) AS northing, CAST(0 AS DOUBLE) AS residue FROM ("
+        f"SELECT id, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM (SELECT id, lam, sinh(atanh(sin(phi)) - {geo._ECC!r} * atanh({geo._ECC!r} * sin(phi))) AS t FROM ("
+        f"SELECT id, radians({_EAST} + x0 * {_SCALE} - 27.0) AS lam, radians({_NORTH} + y0 * {_SCALE}) AS phi FROM fa)))"
+    )
 
 
-_PAIRWISE = (
-    "pw AS (SELECT l.component_id, l.src, sum(greatest(0.0, least(l.maxx, r.maxx) - greatest(l.minx, r.minx)) * greatest(0.0, least(l.maxy, r.maxy) - greatest(l.miny, r.miny))) AS both "
-    "FROM m2 l JOIN m2 r ON l.component_id = r.component_id AND l.src = r.src AND l.uid < r.uid GROUP BY 1, 2)"
-)
-_M2 = "m2 AS (SELECT members.component_id, members.src, u.* FROM members JOIN (SELECT uid, area, minx, miny, maxx, maxy FROM a UNION ALL SELECT uid, area, minx, miny, maxx, maxy FROM b) u USING (uid))"
-_SIDES = (
-    "sides AS (SELECT typed.component_id, match_type, CASE WHEN n_a > 0 THEN sum_area_a - coalesce(pa.both, 0) END AS ua, CASE WHEN n_b > 0 THEN sum_area_b - coalesce(pb.both, 0) END AS ub, sum_area_a, sum_area_b, n_a, n_b "
-    "FROM typed JOIN areas USING (component_id) LEFT JOIN pw pa ON pa.component_id = typed.component_id AND pa.src = 'A' LEFT JOIN pw pb ON pb.component_id = typed.component_id AND pb.src = 'B')"
-)
+PROJECT_UTM = oracle(_utm_sql())
 
 
 def geometry_source(spark, sf_dir: str) -> DataFrame:
-    """For components of at most two shapes a side: union areas and the side that represents them."""
+    """The areas that each component's boxes cover by side, and the side that represents it."""
     table, a, b, members = fp.component_features(spark, sf_dir)
-    few = table.where("n_a <= 2 AND n_b <= 2")
-    return _union_areas(few, a, b, members).select("component_id", "sum_area_a", "sum_area_b", "union_area_a", "union_area_b", "geometry_source")
+    boxes = a.select("uid", "area", *fp.BOX_KEY).unionByName(b.select("uid", "area", *fp.BOX_KEY)).withColumn("wkb", kernels.wkt_to_wkb(_wkt_column()))
+    out = table.select("component_id", "match_type", "sum_area_a", "sum_area_b").join(matching.union_areas(members, boxes), "component_id")
+    return out.select("component_id", "sum_area_a", "sum_area_b", *_r("union_area_a", "union_area_b"), matching.geometry_source().alias("geometry_source"))
 
 
 GEOMETRY_SOURCE = oracle(
-    "SELECT component_id, sum_area_a, sum_area_b, round(ua, 6) AS union_area_a, round(ub, 6) AS union_area_b, CASE WHEN ub IS NULL THEN 'A' WHEN ua IS NULL THEN 'B' "
-    "WHEN match_type = '1:1' OR least(ua, ub) / greatest(ua, ub) >= 0.7 THEN 'B' ELSE 'A' END AS geometry_source FROM sides WHERE n_a <= 2 AND n_b <= 2",
-    *fp.GRAPH, _M2, _PAIRWISE, _SIDES, recursive=True,
+    "SELECT component_id, sum_area_a, sum_area_b, round(union_area_a, 6) AS union_area_a, round(union_area_b, 6) AS union_area_b, side AS geometry_source FROM reps JOIN areas USING (component_id)",
+    *fp.GRAPH,
+    "rects AS (SELECT component_id, src, minx AS x1, miny AS y1, maxx AS x2, maxy AS y2 FROM members JOIN (SELECT uid, minx, miny, maxx, maxy FROM a UNION ALL SELECT uid, minx, miny, maxx, maxy FROM b) USING (uid))",
+    *CELLS, recursive=True,
 )
 
 
@@ -271,6 +266,16 @@ def spatial_folds(spark, sf_dir: str) -> DataFrame:
     return rows.join(folds, "spatial_group").groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("spatial_group").alias("n_groups"))
 
 
+SPATIAL_FOLDS = oracle(
+    "SELECT fold, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_groups FROM deal WHERE i > 0 GROUP BY fold",
+    _MODEL,
+    "gs AS (SELECT spatial_group, n, row_number() OVER (ORDER BY n DESC, spatial_group) AS i FROM (SELECT spatial_group, count(*) AS n FROM m WHERE target_height IS NOT NULL GROUP BY spatial_group))",
+    "deal AS (SELECT CAST(0 AS BIGINT) AS i, [CAST(0 AS BIGINT), 0, 0, 0, 0] AS loads, -1 AS fold, CAST(0 AS BIGINT) AS n UNION ALL SELECT gs.i, "
+    "list_transform(loads, lambda x, k: CASE WHEN k = list_position(loads, list_min(loads)) THEN x + gs.n ELSE x END), list_position(loads, list_min(loads)) - 1, gs.n FROM deal JOIN gs ON gs.i = deal.i + 1)",
+    recursive=True,
+)
+
+
 def regression_metrics(spark, sf_dir: str) -> DataFrame:
     rows = footprints_b(spark, sf_dir).where("height IS NOT NULL AND stairs IS NOT NULL").select((F.col("id") % 5).alias("fold"), F.col("height").alias("target_height"), (F.col("stairs") * 3).alias("prediction"))
     return modelling.fold_metrics(rows).select("fold", *_r("mse", "rmse", "mae", "r2"))
@@ -431,9 +436,8 @@ QUERIES = {
     "geo_shape_features": (shape_features, SHAPE_FEATURES),
     "geo_wkt_roundtrip_area": (wkt_roundtrip, WKT_ROUNDTRIP),
     "geo_project_mercator": (project_mercator, PROJECT_MERCATOR),
-    "geo_project_utm": (project_utm, None),
+    "geo_project_utm": (project_utm, PROJECT_UTM),
     "geo_grid_keys": (grid_keys, GRID_KEYS),
-    "match_union_area": (union_area, None),
     "match_geometry_source": (geometry_source, GEOMETRY_SOURCE),
     "profile_null_share": (null_share, NULL_SHARE),
     "profile_value_counts": (value_counts, VALUE_COUNTS),
@@ -449,7 +453,7 @@ QUERIES = {
     "profile_histogram_left_closed": (histogram_left, HISTOGRAM_LEFT),
     "profile_clipped": (clipped, CLIPPED),
     "model_spatial_groups": (spatial_groups, SPATIAL_GROUPS),
-    "model_spatial_folds": (spatial_folds, None),
+    "model_spatial_folds": (spatial_folds, SPATIAL_FOLDS),
     "model_regression_metrics": (regression_metrics, REGRESSION_METRICS),
     "model_fold_summary": (fold_summary, FOLD_SUMMARY),
     "model_linear": (_model("linear", {}), None),

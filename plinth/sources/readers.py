@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.functions.kernels import wkt_to_wkb
@@ -41,6 +41,11 @@ def read_geoparquet(spark: SparkSession, path: str, geometry: str = "geometry")
     return spark.read.parquet(path).withColumnRenamed(geometry, "wkb")
 
 
+def file_order() -> Column:
+    """The rows' order in the files they are read from."""
+    return F.monotonically_increasing_id()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on whatever file system it names."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

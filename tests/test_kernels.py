@@ -134,3 +134,42 @@ def test_utm_control_points(spark):
     # The meridian's arc to 60 degrees on WGS 84 is 6654072.819 m.
     assert got[1]["y"] == pytest.approx(0.9996 * 6654072.819, abs=0.01)
     assert 650000 < got[2]["x"] < 700000
+
+
+def test_union_geometry(jts):
+    rng = np.random.default_rng(21)
+    for n in (2, 2, 3, 5, 8):
+        for _ in range(6):
+            stars = [s for s in (star(rng, *rng.uniform(-9, 9, 2)) for _ in range(n)) if K.is_valid(s)]
+            if len(stars) < 2:
+                continue
+            want = jts.read(K.to_wkt(stars[0]))
+            for s in stars[1:]:
+                want = want.union(jts.read(K.to_wkt(s)))
+            got = K.union(stars)
+            j = jts.read(K.to_wkt(got))
+            assert K.area(got) == pytest.approx(want.getArea(), abs=1e-6)
+            assert j.isValid() and j.symDifference(want).getArea() < 1e-6
+    square, ring = K.parse_wkt("POLYGON ((0 0,10 0,10 10,0 10,0 0))"), K.parse_wkt(CASES["hole"][0])
+    beside, inner = K.parse_wkt("POLYGON ((10 0,20 0,20 10,10 10,10 0))"), K.parse_wkt("POLYGON ((2 2,4 2,4 4,2 4,2 2))")
+    assert K.area(K.union([square, beside])) == 200 and len(K.union([square, beside])) == 1
+    assert K.area(K.union([ring, ring])) == 96 and len(K.union([ring, ring])[0]) == 2
+    assert K.area(K.union([ring, inner])) == 100 and len(K.union([ring, inner])[0]) == 1
+    assert K.union([]) is None and K.union([[], None]) is None and K.union([ring]) is ring
+
+
+def test_clipped_parts_add_up(jts):
+    rng = np.random.default_rng(4)
+    for _ in range(25):
+        s = star(rng, *rng.uniform(-5, 5, 2))
+        if not K.is_valid(s):
+            continue
+        whole = 0.0
+        for i in range(-5, 5):
+            for j in range(-5, 5):
+                part = K.clip(s, i * 4.0, j * 4.0, i * 4.0 + 4, j * 4.0 + 4)
+                box = jts.read(f"POLYGON (({i * 4} {j * 4},{i * 4 + 4} {j * 4},{i * 4 + 4} {j * 4 + 4},{i * 4} {j * 4 + 4},{i * 4} {j * 4}))")
+                own = K.overlay_areas([part])[1] if part else 0.0
+                assert own == pytest.approx(jts.read(K.to_wkt(s)).intersection(box).getArea(), abs=1e-9)
+                whole += own
+        assert whole == pytest.approx(K.area(s), abs=1e-9)

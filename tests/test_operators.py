@@ -164,3 +164,85 @@ def test_profiles_of_empty_and_constant(spark):
     assert profiling.histogram(df.limit(0), "v", 4).count() == 0
     assert profiling.describe(df.limit(0), ["v"]).first()["count"] == 0
     assert profiling.fixed_sample(df, 3, "v").count() == 3
+
+
+def test_folds_equal_the_plain_greedy(spark):
+    rnd = random.Random(12)
+    for folds, sizes in ((5, [rnd.randint(1, 9) for _ in range(300)]), (3, [50, 1, 1, 1, 1, 1, 1, 1]), (4, [7] * 10), (5, [3, 2]), (2, [100] + [3] * 40 + [1] * 11), (1, [2, 2, 5])):
+        names = [f"g{k:03}" for k in range(len(sizes))]
+        load, want = [0] * folds, {}
+        for n, name in sorted(zip(sizes, names, strict=True), key=lambda x: (-x[0], x[1])):
+            f = min(range(folds), key=load.__getitem__)
+            load[f] += n
+            want[name] = f
+        df = spark.createDataFrame([(name,) for n, name in zip(sizes, names, strict=True) for _ in range(n)] + [(None,)], "spatial_group string")
+        assert {r["spatial_group"]: r["fold"] for r in modelling.group_folds(df, folds=folds).collect()} == want, (folds, sizes)
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_quantiles(spark, most):
+    import numpy as np
+
+    from plinth.operators.ranking import quantiles
+
+    rnd = random.Random(3)
+    values = [rnd.gauss(0, 5) for _ in range(400)] + [1.5] * 300 + [None] * 7
+    df = spark.createDataFrame([(v, None) for v in values], "v double, w double")
+    qs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    row = quantiles(df, {"a": (F.col("v"), qs), "b": (F.col("v") * 2, [0.5]), "c": (F.col("w"), [0.5])}, most).first()
+    known = [v for v in values if v is not None]
+    assert row["a"] == pytest.approx(np.quantile(known, qs)) and row["b"] == pytest.approx([2 * np.median(known)])
+    assert row["c"] is None or row["c"] == [None]
+    assert quantiles(df.limit(0), {"a": (F.col("v"), [0.5])}, most).count() == 1
+
+
+def test_modes_and_codes(spark):
+    df = spark.createDataFrame([("b", None), ("a", None), ("b", None), (None, None), ("a", None)], "c string, d string")
+    assert modelling.fit_modes(df, ["c", "d"]) == {"c": "a", "d": "missing"}
+    assert {r["c"]: r["code"] for r in modelling.ordinal_codes(df, "c").collect()} == {"a": 0, "b": 1}
+
+
+def test_compare_and_best(spark):
+    rows = [(k, float(k % 7), "xy"[k % 2], 3.0 * (k % 7) + (k % 2), 1, f"g{k % 11}") for k in range(220)]
+    df = spark.createDataFrame(rows, "component_id long, f double, t string, target_height double, target_height_is_observed int, spatial_group string")
+    found = modelling.compare(df, "linear", {"f": ["f"], "ft": ["f", "t"]}, [{}], folds=3)
+    assert [r["feature_set"] for r in found.collect()] == ["ft", "f"] and modelling.best(found).first()["feature_set"] == "ft"
+    importance = spark.createDataFrame([(f"f{k}", float(k)) for k in range(30)], "feature string, importance double")
+    assert [r["feature"] for r in modelling.top_features(importance, 3).collect()] == ["f27", "f28", "f29"]
+
+
+def test_union_areas_of_a_crowded_component(spark):
+    """A component of many overlapping polygons, copies among them, is measured cell by cell."""
+    from plinth.functions import geometry as geo
+    from plinth.functions import kernels
+    from plinth.operators import matching
+
+    rnd = random.Random(5)
+    rows, texts = [], []
+    for k in range(60):
+        x, y, w = rnd.uniform(-100, 300), rnd.uniform(0, 400), 900.0 if k == 0 else rnd.uniform(5, 120)
+        text = f"POLYGON (({x} {y}, {x + w} {y}, {x + w} {y + w}, {x + w / 2} {y + w / 2}, {x} {y + w}, {x} {y}))"
+        texts += [text] * (5 if k == 3 else 1)
+        rows += [(f"{'AB'[k % 2]}_{k}_{j}", "AB"[k % 2], 1, text) for j in range(5 if k == 3 else 1)]
+    rows.append(("A_x", "A", 2, texts[0]))
+    df = spark.createDataFrame(rows, "uid string, src string, component_id long, wkt string").withColumn("wkb", kernels.wkt_to_wkb(F.col("wkt")))
+    got = {r["component_id"]: r for r in matching.union_areas(df.select("component_id", "src", "uid"), matching.shapes(df.select("uid", "wkb"), degrees=False)).collect()}
+    shapes = {s: [kernels.parse_wkt(r[3]) for r in rows if r[2] == 1 and r[1] in s] for s in ("A", "B", "AB")}
+    assert got[1]["union_area_a"] == pytest.approx(kernels.union_area(shapes["A"])) and got[1]["union_area_b"] == pytest.approx(kernels.union_area(shapes["B"]))
+    assert got[1]["union_area_all"] == pytest.approx(kernels.union_area(shapes["AB"]))
+    assert got[2]["union_area_b"] is None and got[2]["union_area_a"] == got[2]["union_area_all"] == pytest.approx(kernels.area(kernels.parse_wkt(texts[0])))
+    assert geo.GEOMETRY
+
+
+def test_scratch_deletes_what_was_staged(spark, tmp_path):
+    import os
+
+    from plinth import storage
+
+    with storage.scratch(spark):
+        held = storage.checkpoint(spark.range(100))
+        path = storage.staging_path(spark, "t")
+        held.write.parquet(path)
+        file = held._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+        assert held.count() == 100 and os.path.isdir(path) and os.path.isdir(file.removeprefix("file:"))
+    assert not os.path.exists(path) and not os.path.exists(file.removeprefix("file:"))
