@@ -62,3 +62,35 @@ def test_a_doc_id_on_two_texts_keeps_one_row_of_each_component(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(df).collect()))
     assert got == sorted([(0, a), (3, a), (7, b), (5, "its own text"), (5, "another text")])
+
+
+def test_common_counts():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(0, 80)).astype(np.int64)) for _ in range(40)]
+    got = C._common(sets[:25], sets[25:])
+    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets[:25]) for j, b in enumerate(sets[25:]))
+    assert C._common(sets[:3], []).shape == (3, 0) and C._common([np.empty(0, np.int64)], sets[:2]).tolist() == [[0, 0]]
+
+
+def crowd():
+    """A large group of texts that are alike to very different degrees: many are linked through others, many to none."""
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    rows = []
+    for k in range(260):
+        own = list(base)
+        for at in rng.choice(150, int(rng.integers(0, 14)), replace=False):
+            own[at] = f"x{rng.integers(0, 5000)}"
+        rows.append((k, " ".join(own)))
+    return rows
+
+
+def test_crowds_equal_brute_force(spark, monkeypatch):
+    rows = crowd()
+    want = brute(rows)
+    assert 20 < len(set(want.values())) < 240
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for most, block in ((48, 512), (3, 16), (10**6, 512)):
+        monkeypatch.setattr(C, "CROWD", most)
+        monkeypatch.setattr(C, "BLOCK", block)
+        assert {r["doc_id"]: r["component_id"] for r in C.components(df).collect()} == want
