@@ -7,13 +7,17 @@ are linked, and linked documents form components.
 
 Pairs are found at anchors. The anchors are the words of a covering code: two
 blocks of 23 bits, each covered by the binary Golay code, whose words lie within
-3 bits of everything. A fingerprint's home is the anchor nearest to it. It is
-also replicated to every anchor that can be the home of a fingerprint within
-the threshold, all of which lie within covering radius plus threshold. So of two
-linked fingerprints the one surely visits the other's home, and each home
-compares its own fingerprints with its visitors only. Replication is at most a
-constant per distinct fingerprint (68 as a rule); a fingerprint has at most
-2,080 others within two bits, so links grow with the input.
+3 bits of everything. Beyond MANY distinct fingerprints, where its 2^24 anchors
+would crowd, two more blocks take the other 18 bits in: one of 15 bits covered by
+the Hamming code (radius 1) and one of 3 bits, every word of which is an anchor;
+that makes 2^38. A fingerprint's home is the anchor nearest to it, block by
+block. It is also replicated to every anchor that can be the home of a
+fingerprint within the threshold, all of which lie within covering radius plus
+threshold. So of two linked fingerprints the one surely visits the other's home,
+and each home compares its own fingerprints with its visitors only. Replication
+is at most a constant per distinct fingerprint (61 anchors on average, with all
+four blocks 205); a fingerprint has at most 2,080 others within two bits, so
+links grow with the input.
 
 Exact copies share a fingerprint and are one vertex. Visitors meet homes in a
 join that may be split where an anchor is crowded.
@@ -46,11 +50,12 @@ THRESHOLD = 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 15
 
-#: Golay code: 23 bits, 12 of them message, generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
-GENERATOR = 0b101011100011
-BITS, CHECKS = 23, 11
-#: Where the blocks start in a fingerprint.
-BLOCKS = (0, 23)
+#: Blocks of a fingerprint: first bit, bits, check bits, generator polynomial of the code (degree: check bits), covering radius.
+#: Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1. Hamming code: x^4 + x + 1. Three bits without a code.
+GOLAY = [(0, 23, 11, 0b101011100011, 3), (23, 23, 11, 0b101011100011, 3)]
+MORE = [(46, 15, 4, 0b10011, 1), (61, 3, 0, 1, 0)]
+#: Distinct fingerprints from which on all blocks are taken.
+MANY = 1 << 25
 
 
 def fingerprint(text: str | None) -> int:
@@ -80,76 +85,85 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprints, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def _syndromes(words: np.ndarray) -> np.ndarray:
-    """Remainders of 23-bit words by the generator."""
+def _syndromes(words: np.ndarray, block: tuple) -> np.ndarray:
+    """Remainders of a block's words by the generator."""
+    _, bits, checks, generator, _ = block
     words = words.copy()
-    for k in range(BITS - 1, CHECKS - 1, -1):
-        words ^= np.where(words >> k & 1, GENERATOR << (k - CHECKS), 0)
-    return words
+    for k in range(bits - 1, checks - 1, -1):
+        if checks:
+            words ^= np.where(words >> k & 1, generator << (k - checks), 0)
+    return words if checks else np.zeros_like(words)
 
 
 @cache
-def _tables() -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+def _tables(block: tuple = GOLAY[0]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """By syndrome: the error to the nearest code word; and, relative to that word, the words that one and that two changed bits lead to."""
-    errors = np.array([sum(1 << k for k in c) for w in range(4) for c in combinations(range(BITS), w)], np.int64)
-    nearest = np.empty(1 << CHECKS, np.int64)
-    nearest[_syndromes(errors)] = errors
-    one = np.array([1 << k for k in range(BITS)], np.int64)
-    two = np.array([sum(1 << k for k in c) for c in combinations(range(BITS), 2)], np.int64)
-    syn1, syn2 = _syndromes(one), _syndromes(two)
+    _, bits, checks, _, radius = block
+    errors = np.array([sum(1 << k for k in c) for w in range(radius + 1) for c in combinations(range(bits), w)], np.int64)
+    nearest = np.empty(1 << checks, np.int64)
+    nearest[_syndromes(errors, block)] = errors
+    one = np.array([1 << k for k in range(bits)], np.int64)
+    two = np.array([sum(1 << k for k in c) for c in combinations(range(bits), 2)], np.int64)
+    syn1, syn2 = _syndromes(one, block), _syndromes(two, block)
     reach = []
-    for s in range(1 << CHECKS):
-        by1 = np.setdiff1d((nearest[s] ^ one ^ nearest[s ^ syn1]) >> CHECKS, [0])
-        by2 = np.setdiff1d((nearest[s] ^ two ^ nearest[s ^ syn2]) >> CHECKS, np.append(by1, 0))
+    for s in range(1 << checks):
+        by1 = np.setdiff1d((nearest[s] ^ one ^ nearest[s ^ syn1]) >> checks, [0])
+        by2 = np.setdiff1d((nearest[s] ^ two ^ nearest[s ^ syn2]) >> checks, np.append(by1, 0))
         reach.append((by1, by2))
     return nearest, reach
 
 
-def _home(fps: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """By block: the message of the nearest code word, and the syndrome."""
-    nearest, _ = _tables()
-    blocks = [(fps >> np.uint64(at) & np.uint64((1 << BITS) - 1)).astype(np.int64) for at in BLOCKS]
-    syndromes = [_syndromes(b) for b in blocks]
-    return [(b ^ nearest[s]) >> CHECKS for b, s in zip(blocks, syndromes, strict=True)], syndromes
-
-
-@cache
-def _offsets(a: int, b: int) -> np.ndarray:
-    """What to xor into a home's anchor id to get every anchor to visit, by the two blocks' syndromes."""
-    _, reach = _tables()
-    (a1, a2), (b1, b2) = reach[a], reach[b]
-    return np.concatenate([[0], a1, a2, b1 << 12, b2 << 12, (a1[:, None] | b1 << 12).ravel()])
-
-
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(home anchor of each fingerprint; anchors that are visited; index of the fingerprint that visits)."""
-    (m0, m1), (s0, s1) = _home(fps)
-    home = m0 | m1 << 12
-    offsets = [_offsets.__wrapped__(a, b) for a, b in zip(s0.tolist(), s1.tolist(), strict=True)]
+def _offsets(reach: list[tuple[np.ndarray, np.ndarray]], at: list[int]) -> np.ndarray:
+    """What to xor into a home's anchor id to get every anchor to visit; ``reach`` by block, whose part of an id starts at ``at``."""
+    ones = [one << k for (one, _), k in zip(reach, at, strict=True)]
+    twos = [two << k for (_, two), k in zip(reach, at, strict=True)]
+    return np.concatenate([[0], *ones, *twos, *((a[:, None] | b).ravel() for a, b in combinations(ones, 2))])
+
+
+def anchors(fps: np.ndarray, more: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(home anchor of each fingerprint; anchors that are visited; index of the fingerprint that visits). ``more``: by all blocks."""
+    home, at, reach, start = np.zeros(len(fps), np.int64), [], [], 0
+    for block in GOLAY + MORE if more else GOLAY:
+        first, bits, checks, _, _ = block
+        nearest, table = _tables(block)
+        words = (fps >> np.uint64(first) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        syndromes = _syndromes(words, block)
+        home |= (words ^ nearest[syndromes]) >> checks << start
+        reach.append([table[s] for s in syndromes.tolist()])
+        at.append(start)
+        start += bits - checks
+    offsets = [_offsets(r, at) for r in zip(*reach, strict=True)]
     sizes = np.fromiter(map(len, offsets), np.int64, len(offsets))
     who = np.repeat(np.arange(len(fps)), sizes)
     return home, home[who] ^ np.concatenate(offsets) if len(fps) else home, who
 
 
-def _homes(batches):
-    for b in batches:
-        fp = b.column("fp").to_numpy()
-        home, _, _ = anchors(fp.view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(fp)], ["anchor", "fp"])
+def _homes(more: bool):
+    def run(batches):
+        for b in batches:
+            fp = b.column("fp").to_numpy()
+            home, _, _ = anchors(fp.view(np.uint64), more)
+            yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(fp)], ["anchor", "fp"])
 
+    return run
 
-def _visits(batches):
-    for b in batches:
-        for at in range(0, b.num_rows, 2000):
-            fp = b.column("fp").slice(at, 2000).to_numpy()
-            _, to, who = anchors(fp.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(fp[who])], ["anchor", "other"])
+
+def _visits(more: bool):
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                fp = b.column("fp").slice(at, 2000).to_numpy()
+                _, to, who = anchors(fp.view(np.uint64), more)
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(fp[who])], ["anchor", "other"])
+
+    return run
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, many: int = MANY) -> DataFrame:
     """Pairs (src, dst) of distinct fingerprints within the threshold; ``fps`` holds each once, in column fp."""
-    homes = fps.select("fp").mapInArrow(_homes, "anchor long, fp long").hint("shuffle_hash")
-    visits = fps.select("fp").mapInArrow(_visits, "anchor long, other long")
+    more = fps.count() > many
+    homes = fps.select("fp").mapInArrow(_homes(more), "anchor long, fp long").hint("shuffle_hash")
+    visits = fps.select("fp").mapInArrow(_visits(more), "anchor long, other long")
     near = (F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= THRESHOLD)
     return visits.join(homes, "anchor").where(near).select(F.col("fp").alias("src"), F.col("other").alias("dst"))
 

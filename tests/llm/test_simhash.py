@@ -98,3 +98,35 @@ def test_edge_rows(docs, no_docs):
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, d) for d in (1, 2, 5, 6, 7, 8, 9, 10)] + [(True, 0)]
     assert S.keep_one(no_docs).count() == 0
+
+
+def test_all_blocks_cover_and_meet():
+    for block, radius in ((S.GOLAY[0], 3), (S.MORE[0], 1), (S.MORE[1], 0)):
+        assert max(bin(int(e)).count("1") for e in S._tables(block)[0]) == radius
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        x = int(rng.integers(0, 1 << 64, dtype=np.uint64))
+        y = x
+        for k in rng.choice(64, int(rng.integers(0, 3)), replace=False):
+            y ^= 1 << int(k)
+        home, _, _ = S.anchors(np.array([x], np.uint64), True)
+        _, visits, _ = S.anchors(np.array([y], np.uint64), True)
+        assert home[0] in visits and len(set(visits)) == len(visits) and visits.max() < 1 << 38
+    some = rng.integers(0, 1 << 64, 20_000, dtype=np.uint64)
+    for more, few in ((False, 62), (True, 207)):
+        home, visits, _ = S.anchors(some, more)
+        assert len(visits) < few * len(some) and len(set(home.tolist())) > (19_900 if more else 19_800)
+
+
+def test_links_by_all_blocks(spark):
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 1 << 63, 400).tolist()
+    for x in fps[:200]:
+        y = x
+        for k in rng.choice(64, int(rng.integers(1, 4)), replace=False):
+            y ^= 1 << int(k)
+        fps.append(y)
+    signed = sorted(set(np.array(sorted(set(fps)), np.uint64).view(np.int64).tolist()))
+    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    few, many = ({tuple(sorted(r)) for r in S.links(df, n).collect()} for n in (S.MANY, 0))
+    assert few == many and len(many) > 50
