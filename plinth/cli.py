@@ -2,7 +2,8 @@
 
     eda --a A.csv --b B.csv --book FOLDER --out-html PAGE
     validate --parquet TABLE --out-html PAGE
-    run --a A.csv --b B.csv --out FOLDER
+    run --a A.csv --b B.csv --out FOLDER [--gpkg FILE]
+    maps --parquet TABLE --out FOLDER
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from plinth.operators import cleaning, contexts, matching, modelling, reporting, validation
+from plinth.operators import cleaning, contexts, maplayers, matching, modelling, reporting, validation
 from plinth.sources import readers, writers
 from plinth.storage import checkpoint
 
@@ -53,14 +54,29 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     table = checkpoint(matching.final_table(a, b, members, edges))
     predicted, importance = modelling.fit_and_predict(table, args.model, modelling.FEATURE_SETS["baseline"], modelling.BEST.get(args.model))
     writers.write_parquet(validation.fill_heights(table, predicted), f"{args.out}/buildings")
+    if args.gpkg:
+        writers.write_geopackage(spark.read.parquet(f"{args.out}/buildings"), args.gpkg, "buildings", "rep_geometry")
     for name, df in (("candidate_pairs", pairs), ("edges", edges), ("importance", importance)):
         writers.write_csv(df, f"{args.out}/{name}")
 
 
+def maps(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Write the map pages of a filled table, and their points as GeoJSON lines."""
+    rows = checkpoint(maplayers.located(spark.read.parquet(args.parquet)))
+    layers = {
+        "heights": maplayers.height_points(rows), "heights_all": maplayers.height_points(rows, None), "confidence": maplayers.confidence_points(rows),
+        "confidence_sample": maplayers.confidence_points(rows, share=0.1), "confidence_heat": maplayers.confidence_heat(rows),
+    }
+    for name, points in layers.items():
+        shown = points if "colour" in points.columns else maplayers.shaded(points)
+        writers.write_map(shown, f"{args.out}/{name}.html", name.replace("_", " "), "colour")
+        writers.write_geojson_lines(points, f"{args.out}/{name}")
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="plinth", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     steps = out.add_subparsers(dest="step", required=True)
-    for name, action, needed, title in (("eda", eda, ["a", "b", "book", "out-html"], "EDA quality"), ("validate", validate, ["parquet", "out-html"], "Validation"), ("run", run, ["a", "b", "out"], None)):
+    for name, action, needed, title in (("eda", eda, ["a", "b", "book", "out-html"], "EDA quality"), ("validate", validate, ["parquet", "out-html"], "Validation"), ("run", run, ["a", "b", "out"], None), ("maps", maps, ["parquet", "out"], None)):
         step = steps.add_parser(name, help=action.__doc__)
         step.set_defaults(action=action)
         for flag in needed:
@@ -68,6 +84,7 @@ def parser() -> argparse.ArgumentParser:
         if title:
             step.add_argument("--title", default=title)
             step.add_argument("--logo", default="")
+    steps.choices["run"].add_argument("--gpkg", default="", help="a local GeoPackage to write the buildings to as well")
     steps.choices["run"].add_argument("--model", default="boosted_categories", choices=["linear", "forest", "gbt", "boosted_categories"])
     return out
 

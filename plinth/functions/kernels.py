@@ -559,10 +559,6 @@ def st_intersection_area(a, b):
     return _udf("double", intersection_area)(a, b)
 
 
-def st_distance(a, b):
-    return _udf("double", distance)(a, b)
-
-
 def st_union_area(column):
     """Of an array of WKB: the area covered by any; null if none is left."""
 

@@ -123,7 +123,7 @@ def relevant_only(df: DataFrame) -> DataFrame:
 
 
 def parse_geometry(df: DataFrame, wkt: str, degrees: bool = True) -> DataFrame:
-    """Add what cleaning needs of a WKT column, in one pass that is kept: ``wkb`` (repaired where that was needed),
+    """Add what cleaning needs of a WKT column, in one pass that is kept (of a stream: that runs on): ``wkb`` (repaired where that was needed),
     ``parsed``, ``was_valid``, ``repaired``, ``holes`` (bad ones) and ``area`` (of Web Mercator where the text is in degrees)."""
     out = df.withColumn("wkb", kernels.wkt_to_wkb(F.col(wkt)))
     out = out.withColumns({"parsed": F.col("wkb").isNotNull(), "was_valid": kernels.st_is_valid(F.col("wkb"))})
@@ -131,7 +131,8 @@ def parse_geometry(df: DataFrame, wkt: str, degrees: bool = True) -> DataFrame:
     out = out.withColumns({"repaired": ~F.col("was_valid") & F.col("wkb").isNotNull(), "holes": kernels.st_bad_holes(F.col("wkb")), "__g": kernels.wkb_to_geometry(F.col("wkb"))})
     if degrees:
         out = out.withColumn("__g", geo.to_mercator("__g"))
-    return checkpoint(out.withColumn("area", geo.area("__g")).drop("__g"))
+    out = out.withColumn("area", geo.area("__g")).drop("__g")
+    return out if df.isStreaming else checkpoint(out)
 
 
 def clean_geometry(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:

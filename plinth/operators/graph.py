@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.storage import checkpoint
+from plinth.storage import checkpoint, compact, release
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -13,31 +13,35 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Alternating large-star and small-star rounds: each vertex hands its larger
     neighbours, then its smaller ones, to the smallest vertex it knows of. A
-    component of any size ends as a star in a logarithmic number of rounds.
-    Minima are combined before the shuffle, and the join that follows may be
-    split by the optimiser where one vertex has many neighbours. Each round is
-    checkpointed. Edges with a null end are ignored; loops keep a vertex of its own.
+    component of any size ends as a star in a logarithmic number of rounds. Edges
+    are dealt by vertex, so a vertex of very many neighbours is one task's work,
+    which streams. Each round is checkpointed, and the one before it deleted. Edges with a null end are ignored; loops keep a vertex of its own.
 
     Returns (vertex, component). Raises RuntimeError if ``max_rounds`` rounds
     don't settle it.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     loops = pairs.where("u = v").select(F.col("u").alias("vertex")).distinct()
-    star = checkpoint(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    sums = {"a": F.sum(F.hash("u", "v").cast("long")), "b": F.sum(F.xxhash64("u", "v") % 1_000_003)}
+    held = checkpoint(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), **sums)
     said = None
     for _ in range(max_rounds):
-        both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        star = compact(held)
+        # Dealt by vertex once for the minimum and for the join.
+        both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u")
         near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u")  # repeats go with the smaller ones below
         near = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(near, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        star = checkpoint(small.where("u <> v").distinct())
-        now = star.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        before, held = held, checkpoint(small.where("u <> v").distinct(), **sums)
+        release(before)
+        now = held.__dict__["measured"]
         if now == said:
             break
         said = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    star = compact(held)
     roots = star.select(F.col("v").alias("vertex")).distinct()
     alone = loops.join(star.select(F.col("u").alias("vertex")), "vertex", "left_anti").join(roots, "vertex", "left_anti")
     return star.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(

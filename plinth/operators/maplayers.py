@@ -35,3 +35,15 @@ def confidence_points(df: DataFrame, key: str = "component_id", share: float | N
 def confidence_heat(df: DataFrame) -> DataFrame:
     """lat, lon and confidence score as weight."""
     return df.select("lat", "lon", confidence_score("target_height_reliability", "target_height_was_predicted").alias("weight")).dropna()
+
+
+# Colours of five steps from low to high.
+SHADES = ("#ffffb2", "#fecc5c", "#fd8d3c", "#f03b20", "#bd0026")
+
+
+def shaded(points: DataFrame, weight: str = "weight") -> DataFrame:
+    """Add the colour of each point's step of SHADES, equal steps between the least and the greatest weight."""
+    ends = points.agg(F.min(weight).alias("__lo"), F.max(weight).alias("__hi"))
+    share = (F.col(weight) - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0))
+    step = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * len(SHADES)).cast("int"), F.lit(len(SHADES) - 1))
+    return points.crossJoin(F.broadcast(ends)).withColumn("colour", F.element_at(F.array(*map(F.lit, SHADES)), step + 1)).drop("__lo", "__hi")  # one row

@@ -12,7 +12,7 @@ from plinth.operators.graph import connected_components
 from plinth.operators.neighbors import neighbor_features
 from plinth.operators.ranking import running_total
 from plinth.operators.spatial_join import BOX, MOST_CELLS, box_join, cell_size, own_level
-from plinth.storage import checkpoint
+from plinth.storage import checkpoint, row_count
 
 BUFFER_M = 0.5
 CELL_M = 64.0
@@ -90,7 +90,7 @@ def edge_rule() -> Column:
 
 def vertices(a: DataFrame, b: DataFrame) -> DataFrame:
     """uid, src and node: A's ordinals first, then B's."""
-    n = a.count()
+    n = row_count(a)
     return a.select("uid", "src", F.col("ordinal").alias("node")).unionByName(b.select("uid", "src", (F.col("ordinal") + n).alias("node")))
 
 

@@ -289,6 +289,16 @@ MERGE_SUMMARY = oracle(
     "SELECT count(*) AS total, count(*) FILTER (match_type NOT IN ('A_only', 'B_only')) AS matched, count(*) FILTER (match_type = 'A_only') AS a_only, count(*) FILTER (match_type = 'B_only') AS b_only, count(median_height_b) AS with_height FROM sure",
     *GRAPH, recursive=True,
 )
+
+
+def matched(spark, sf_dir: str) -> DataFrame:
+    """The components of both sources, with how sure their match is."""
+    _, _, edges, members = graph(spark, sf_dir)
+    table = matching.component_table(members, edges).withColumn("match_confidence", matching.match_confidence())
+    return matching.matched(table).select("component_id", "match_type", "match_confidence")
+
+
+MATCHED = oracle("SELECT component_id, match_type, match_confidence FROM sure WHERE match_type NOT IN ('A_only', 'B_only')", *GRAPH, recursive=True)
 MATCH_TYPES = oracle("SELECT match_type, count(*) AS n FROM typed GROUP BY match_type", *GRAPH, recursive=True)
 
 
@@ -372,6 +382,7 @@ QUERIES = {
     "join_near_duplicates": (near_duplicates, NEAR_DUPLICATES),
     "match_union_area": (union_area, UNION_AREA),
     "match_summary": (merge_summary, MERGE_SUMMARY),
+    "match_matched": (matched, MATCHED),
     "match_final_table": (final_table, FINAL_TABLE),
     "chain_raw_to_validated": (whole_chain, WHOLE_CHAIN),
 }

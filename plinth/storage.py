@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
@@ -37,18 +37,46 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage, in the shared folder."""
+def checkpoint(df: DataFrame, **measures: Column) -> DataFrame:
+    """Compute ``df`` once and cut its lineage, in the shared folder.
+
+    The result's ``measured`` holds its number of ``rows`` and the aggregates of
+    ``measures``, which come from the same pass.
+    """
     shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("rows"), *(m.alias(k) for k, m in measures.items())).checkpoint(eager=True)
+    file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    out.__dict__.update(measured=seen.get, files=[file.get()] if file.isDefined() else [])
     held = _scratch.get()
     if held is not None:
-        file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
-        if file.isDefined():
-            held.append(file.get())
+        held.extend(out.__dict__["files"])
+    return out
+
+
+def row_count(df: DataFrame) -> int:
+    """Rows of a frame, without a pass if ``checkpoint`` returned it."""
+    measured = df.__dict__.get("measured")  # not a column of that name
+    return measured["rows"] if measured else df.count()
+
+
+def compact(df: DataFrame, rows: int = 100_000, least: int = 8) -> DataFrame:
+    """A frame that ``checkpoint`` returned, read in partitions of about so many rows if it has more of them than that (and than ``least``)."""
+    few = max(least, -(-row_count(df) // rows))
+    if df._jdf.queryExecution().logical().rdd().getNumPartitions() <= few:
+        return df
+    out = df.coalesce(few)
+    out.__dict__.update(measured=df.__dict__["measured"], files=df.__dict__["files"])
     return out
 
 
+def release(*frames: DataFrame) -> None:
+    """Delete frames that ``checkpoint`` returned; what is made of them must have been checkpointed or written by then."""
+    for df in frames:
+        for path in df.__dict__["files"]:
+            remove_path(df.sparkSession, path)
+
+
 def staging_path(spark: SparkSession, label: str) -> str:
     """A new path under the shared folder."""
     path = f"{shared_dir(spark)}/plinth-staged/{label}-{uuid.uuid4().hex}"

@@ -1,8 +1,9 @@
 """Cleaning footprints as they arrive.
 
 The batch operators that look at one row at a time work on a stream as they are:
-marking, the area filter, the floor swap and outlier reasons. Steps that need
-other rows (medians, duplicates) belong to the batch that reads what is kept.
+marking, parsing, validity, repair and holes of geometry, the area filter, the
+floor swap and outlier reasons. Steps that need other rows (medians, duplicates)
+belong to the batch that reads what is kept.
 """
 
 from __future__ import annotations
@@ -18,9 +19,13 @@ def read_arrivals(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def clean_arrivals(rows: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
-    """(kept rows, audit) of a stream of source ``A`` or ``B``."""
-    kept, audit = cleaning.drop_small(cleaning.begin(rows))
+def clean_arrivals(rows: DataFrame, source: str, wkt: str | None = None, degrees: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(kept rows, audit) of a stream of source ``A`` or ``B``; ``wkt`` names the column of WKT, without which rows come with their area."""
+    kept, audit = cleaning.begin(rows), None
+    if wkt:
+        kept, audit = cleaning.clean_geometry(cleaning.parse_geometry(kept, wkt, degrees))
+    kept, small = cleaning.drop_small(kept)
+    audit = small if audit is None else audit.unionByName(small)
     if source == "A":
         return cleaning.swap_floors(kept), audit
     kept, bad = cleaning.drop_outliers(kept)

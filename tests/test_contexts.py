@@ -39,7 +39,7 @@ def csvs(tmp_path_factory):
 @pytest.fixture(scope="module")
 def made(spark, csvs, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("out"))
-    cli.main(["run", "--a", f"{csvs}/a.csv", "--b", f"{csvs}/b.csv", "--out", out, "--model", "linear"])
+    cli.main(["run", "--a", f"{csvs}/a.csv", "--b", f"{csvs}/b.csv", "--out", out, "--model", "linear", "--gpkg", f"{out}/b.gpkg"])
     return out
 
 
@@ -57,6 +57,8 @@ def test_run_from_raw_files(spark, made):
     shape = kernels.from_wkb(one["rep_geometry"])
     assert kernels.area(shape) == pytest.approx(one["union_area_b"], rel=1e-9)
     assert table.columns[:48] == cli.matching.FINAL_COLUMNS
+    con = sqlite3.connect(f"{made}/b.gpkg")
+    assert con.execute("SELECT count(*), count(geom) FROM buildings").fetchone() == (61, 61)
     for name in ("edges", "candidate_pairs", "importance"):
         assert spark.read.option("header", True).csv(f"{made}/{name}").count() > 0
 
@@ -116,3 +118,13 @@ def test_map_page(spark, tmp_path):
     assert "a &lt; b" in text and "500 of 500" in text and "#fdae61" in text
     assert writers.write_map(points, str(tmp_path / "n.html"), "few", most=20) == 20 and "20 of 500" in (tmp_path / "n.html").read_text()
     assert writers.write_map(points.limit(0), str(tmp_path / "o.html"), "none") == 0
+
+
+def test_map_pages_of_a_table(spark, made, tmp_path):
+    import json
+
+    cli.main(["maps", "--parquet", f"{made}/buildings", "--out", str(tmp_path)])
+    pages = {name: (tmp_path / f"{name}.html").read_text() for name in ("heights", "heights_all", "confidence", "confidence_sample", "confidence_heat")}
+    assert "61 of 61" in pages["heights"] and "6 of 6" in pages["confidence_sample"] and "#bd0026" in pages["heights"]
+    one = json.loads(spark.read.text(str(tmp_path / "confidence")).first()["value"])
+    assert 29.9 < one["geometry"]["coordinates"][0] < 30.2 and 59.8 < one["geometry"]["coordinates"][1] < 60
