@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plinth.storage import broadcast_within, checkpoint
+from plinth.storage import broadcast_within, checkpoint, row_count
 
 SAMPLE = 2000
 SPARE = 2
@@ -125,7 +125,7 @@ def _sample(docs: DataFrame) -> DataFrame:
     ids = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL AND crc32(cast(doc_id AS string)) % 4 <> 2")
     ids = ids.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(RANGE)).alias("h"))
     sizes = checkpoint(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
-    n = sizes.count()
+    n = row_count(sizes)
     ids = ids.join(broadcast_within(sizes, n, BROADCAST_IDS), "lang").where(F.col("h") < F.lit(float(RANGE) * SPARE * SAMPLE) / F.col("n"))
     place = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = ids.withColumn("place", F.row_number().over(place)).where(F.col("place") <= SAMPLE)

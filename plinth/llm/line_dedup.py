@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm.texts import spaces_sql
-from plinth.storage import broadcast_within, checkpoint
+from plinth.storage import broadcast_within, checkpoint, row_count
 
 MIN_SITES = 6
 #: Of op1, as its SQL has it.
@@ -61,7 +61,7 @@ def boilerplate(docs: DataFrame, words: int = MIN_WORDS) -> DataFrame:
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct(F.col("doc_id"), F.col("pos"), F.col("th"))).alias("first"))
     spread = spread.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").cast("double").alias("sites")).where(F.col("sites") >= LOW)
     spread = checkpoint(spread)
-    n = spread.count()
+    n = row_count(spread)
     near = spread.where(F.col("sites") <= HIGH).select("h1", "h2")
     exact = lines.join(broadcast_within(near, n, BROADCAST_LINES), ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct()
     exact = exact.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SITES).select("h1", "h2")
@@ -72,7 +72,7 @@ def boilerplate(docs: DataFrame, words: int = MIN_WORDS) -> DataFrame:
 def _cuts(docs: DataFrame, words: int) -> DataFrame:
     """Positions to cut: doc_id, th, cut (array of positions)."""
     found = boilerplate(docs, words)
-    hit = _lines(docs, words).join(broadcast_within(found, found.count(), BROADCAST_LINES), ["h1", "h2"])
+    hit = _lines(docs, words).join(broadcast_within(found, row_count(found), BROADCAST_LINES), ["h1", "h2"])
     return hit.where("NOT (struct(doc_id, pos, th) <=> first)").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("cut"))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm.texts import WORD
 from plinth.operators.ranking import running_total
-from plinth.storage import broadcast_within, checkpoint
+from plinth.storage import broadcast_within, checkpoint, row_count
 
 MAX_EPOCHS = 3
 WEIGHTS = 3
@@ -110,7 +110,7 @@ def plan(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     shares = water_level(sources)
     shares = shares.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     shares = checkpoint(shares.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
-    n = shares.count()
+    n = row_count(shares)
     units = checkpoint(sized.where("size > 0").groupBy("source", *_ORDER).agg((F.count(F.lit(1)) * F.col("size")).alias("w")))
     return sized, _fill(units, shares, n), n
 

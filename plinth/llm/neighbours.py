@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plinth.storage import broadcast_within, checkpoint
+from plinth.storage import checkpoint, row_count
 
 K = 5
 DIMS = 8
@@ -62,7 +62,6 @@ BOXES, TAKE = 2_000_000, 20_000
 EVERY = 50
 #: The least squared distance to search within, above what rounding makes of parallel vectors.
 MARGIN = 1e-12
-BROADCAST_ROWS = 200_000
 
 
 def chi_square(x: np.ndarray, dims: int = DIMS) -> np.ndarray:
@@ -286,7 +285,7 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     smallest = Window.partitionBy("embedding").orderBy("vec_id")
     held = rows.withColumn("place", F.row_number().over(smallest)).where(F.col("place") <= keep)
     groups = checkpoint(held.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("vid", F.element_at("ids", 1)))
-    n = groups.count()
+    n = row_count(groups)
 
     # The hash bound lets about twice the sample through, so that choosing it exactly moves few rows at any size.
     chance = F.pmod(F.xxhash64("vid"), F.lit(1 << 40))

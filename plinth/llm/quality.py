@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm.texts import WORD, spaces_sql
-from plinth.storage import broadcast_within, checkpoint, staging_path
+from plinth.storage import broadcast_within, checkpoint, row_count, staging_path
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -98,7 +98,7 @@ def host_verdicts(judged: DataFrame, host: str = "source", failed: str = "base_f
 
 def _with_verdicts(judged: DataFrame, hosts: DataFrame) -> DataFrame:
     hosts = checkpoint(hosts.select("host", "rate", "low", "host_rejected"))
-    hosts = broadcast_within(hosts, hosts.count(), BROADCAST_HOSTS).alias("h")
+    hosts = broadcast_within(hosts, row_count(hosts), BROADCAST_HOSTS).alias("h")
     joined = judged.alias("d").join(hosts, F.expr("d.source <=> h.host"), "left")
     return joined.select("d.*", (~F.col("d.base_failed") & ~F.coalesce(F.col("h.host_rejected"), F.lit(False))).alias("kept"), "h.rate", "h.low")
 

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm import near_copies
 from plinth.operators.graph import connected_components
-from plinth.storage import checkpoint
+from plinth.storage import checkpoint, row_count
 
 SHINGLE = 3
 SEED = 42
@@ -161,7 +161,7 @@ def _visits(more: bool):
 
 def links(fps: DataFrame, many: int = MANY) -> DataFrame:
     """Pairs (src, dst) of distinct fingerprints within the threshold; ``fps`` holds each once, in column fp."""
-    more = fps.count() > many
+    more = row_count(fps) > many
     homes = fps.select("fp").mapInArrow(_homes(more), "anchor long, fp long").hint("shuffle_hash")
     visits = fps.select("fp").mapInArrow(_visits(more), "anchor long, other long")
     near = (F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= THRESHOLD)

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.storage import broadcast_within, checkpoint
+from plinth.storage import broadcast_within, checkpoint, row_count
 
 #: (host, path, verdict), as stated for the query.
 RULES = [
@@ -110,7 +110,7 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     k_host, k_domain, k_suffix = (_weight(table) for table in (hosts, domains, suffixes))
     nn, bb = suffixes.agg(F.sum("n"), F.sum("b")).first()
     p = bb / nn if nn else 0.0
-    few = [broadcast_within(t, t.count(), BROADCAST_HOSTS) for t in (domains, suffixes)]
+    few = [broadcast_within(t, row_count(t), BROADCAST_HOSTS) for t in (domains, suffixes)]
     tree = hosts.alias("h").join(few[0].alias("d"), ["domain", "suffix"]).join(few[1].alias("s"), "suffix")
     top = (F.col("s.b") + F.lit(k_suffix * p)) / (F.col("s.n") + F.lit(k_suffix))
     up = (F.col("d.b") + F.lit(k_domain) * top) / (F.col("d.n") + F.lit(k_domain))
@@ -122,7 +122,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, and the site's rate and low, of every page."""
     ruled = checkpoint(with_tree(with_rules(parts(pages.select("page_id", "url")), rules)).drop("url"))
     known = checkpoint(reputation(ruled.select("site", "domain", "suffix", (F.col("ruled") == "block").alias("outcome"))))
-    known = broadcast_within(known, known.count(), BROADCAST_HOSTS)
+    known = broadcast_within(known, row_count(known), BROADCAST_HOSTS)
     out = ruled.join(known, "site", "left")
     said = F.coalesce("ruled", F.when(F.col("low") > F.lit(MAX_RATE), "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", said.alias("verdict"), "rate", "low")
