@@ -457,7 +457,7 @@ QUERIES = {
     "model_regression_metrics": (regression_metrics, REGRESSION_METRICS),
     "model_fold_summary": (fold_summary, FOLD_SUMMARY),
     "model_linear": (_model("linear", {}), None),
-    "model_forest": (_model("forest", {"numTrees": 20, "maxDepth": 8}), None),
+    "model_forest": (_model("forest", modelling.BEST["forest"]), None),
     "model_gbt": (_model("boosted_categories", {"maxIter": 10, "maxDepth": 5}), None),
     "model_fill_provenance": (fill_provenance, FILL_PROVENANCE),
     "valid_integrity": (integrity, INTEGRITY),
