@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL they are held against."""
 
-from plinth.llm import bpe, langid, licences, line_dedup, mixing, neighbours, quality, simhash, token_files, url_filter
+from plinth.llm import bpe, langid, licences, line_dedup, mixing, neighbours, quality, sentence_pieces, simhash, spellings, token_files, url_filter, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -13,10 +13,14 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_bpe": bpe.query,
     "op10_quality_rules": quality.query,
+    "op11_sentencepiece": sentence_pieces.query,
+    "op12_whitening": whitening.query,
+    "op13_spelling_variants": spellings.query,
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op3_source_mixing": mixing.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
     "op10_quality_rules": quality.ORACLE,
+    "op13_spelling_variants": spellings.ORACLE,
 }
