@@ -11,14 +11,20 @@ from __future__ import annotations
 
 import re
 import struct
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from plinth.functions.arrangement import Arrangement, near_pairs
+
 Geometry = list[list[np.ndarray]]
 
+#: Segments that distances look at together.
+STRETCH = 64
+
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 _TOKEN = re.compile(rf"\(|\)|,|{_NUMBER}|[A-Za-z]+")
 
@@ -140,15 +146,33 @@ def area(g: Geometry) -> float:
 
 
 def _crossings(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For all pairs of segments: parameters t on a and u on b of the lines' crossing, the lines' cross product, and the offset product of parallel ones."""
-    p, q = a[:, None, :2], b[None, :, :2]
-    r, s = a[:, None, 2:] - p, b[None, :, 2:] - q
-    cross = r[..., 0] * s[..., 1] - r[..., 1] * s[..., 0]
-    w = q - p
+    """For segments of a and b side by side: parameters t on a and u on b of the lines' crossing, the lines' cross product, and the offset product of parallel ones."""
+    r, s, w = a[:, 2:] - a[:, :2], b[:, 2:] - b[:, :2], b[:, :2] - a[:, :2]
+    cross = r[:, 0] * s[:, 1] - r[:, 1] * s[:, 0]
+    off = w[:, 0] * r[:, 1] - w[:, 1] * r[:, 0]
     with np.errstate(divide="ignore", invalid="ignore"):
-        t = (w[..., 0] * s[..., 1] - w[..., 1] * s[..., 0]) / cross
-        u = (w[..., 0] * r[..., 1] - w[..., 1] * r[..., 0]) / cross
-    return t, u, cross, w[..., 0] * r[..., 1] - w[..., 1] * r[..., 0]
+        return (w[:, 0] * s[:, 1] - w[:, 1] * s[:, 0]) / cross, off / cross, cross, off
+
+
+def _side(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """On which side of a to b each c lies: 1 left, -1 right, 0 on the line. Exact: what rounding leaves open is decided in fractions."""
+    left, right = (a[:, 0] - c[:, 0]) * (b[:, 1] - c[:, 1]), (a[:, 1] - c[:, 1]) * (b[:, 0] - c[:, 0])
+    det = left - right
+    out = np.sign(det)
+    for k in np.flatnonzero(np.abs(det) <= 4e-16 * (np.abs(left) + np.abs(right))).tolist():
+        (ax, ay), (bx, by), (cx, cy) = (map(Fraction, x[k].tolist()) for x in (a, b, c))
+        exact = (ax - cx) * (by - cy) - (ay - cy) * (bx - cx)
+        out[k] = (exact > 0) - (exact < 0)
+    return out
+
+
+def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether segments of a and b side by side, whose boxes meet, share a point."""
+    out = np.zeros(len(a), bool)
+    far = _side(a[:, :2], a[:, 2:], b[:, :2]) * _side(a[:, :2], a[:, 2:], b[:, 2:]) <= 0
+    a, b = a[far], b[far]
+    out[far] = _side(b[:, :2], b[:, 2:], a[:, :2]) * _side(b[:, :2], b[:, 2:], a[:, 2:]) <= 0
+    return out
 
 
 def overlay_areas(geometries: list[Geometry]) -> tuple[float, float]:
@@ -161,12 +185,10 @@ def overlay_areas(geometries: list[Geometry]) -> tuple[float, float]:
     origin = e[0, :2].copy()
     e = e - np.tile(origin, 2)
     xs = [e[:, 0], e[:, 2]]
-    for at in range(0, len(e), 256):
-        t, u, cross, _ = _crossings(e[at : at + 256], e)
+    for i, j in near_pairs(e):
+        t, u, cross, _ = _crossings(e[i], e[j])
         hit = (cross != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
-        i, _ = np.nonzero(hit)
-        part = e[at : at + 256]
-        xs.append(part[i, 0] + t[hit] * (part[i, 2] - part[i, 0]))
+        xs.append(e[i[hit], 0] + t[hit] * (e[i[hit], 2] - e[i[hit], 0]))
     xs = np.unique(np.concatenate(xs))
     left, right = np.minimum(e[:, 0], e[:, 2]), np.maximum(e[:, 0], e[:, 2])
     slope = np.divide(e[:, 3] - e[:, 1], e[:, 2] - e[:, 0], out=np.zeros(len(e)), where=e[:, 2] != e[:, 0])
@@ -197,23 +219,16 @@ def union_area(geometries: list[Geometry]) -> float:
 
 
 def contains_point(g: Geometry, x: float, y: float) -> bool:
-    """Even-odd; points on the boundary are decided by the half-open rule."""
+    """Even-odd, decided exactly; points on the boundary by the half-open rule."""
     e = segments(g)
-    over = (e[:, 1] > y) != (e[:, 3] > y)
-    at = e[over]
-    return bool((at[:, 0] + (y - at[:, 1]) / (at[:, 3] - at[:, 1]) * (at[:, 2] - at[:, 0]) > x).sum() % 2)
+    at = e[(e[:, 1] > y) != (e[:, 3] > y)]
+    up = np.where(at[:, 1] < at[:, 3], 1, -1)
+    return bool((_side(at[:, :2], at[:, 2:], np.broadcast_to([x, y], (len(at), 2))) * up > 0).sum() % 2)
 
 
 def _touch(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether any segment of a meets any of b."""
-    t, u, cross, off = _crossings(a, b)
-    if ((cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)).any():
-        return True
-    line = (cross == 0) & (off == 0)
-    for d in (0, 1):
-        lo, hi = np.minimum(a[:, None, d], a[:, None, d + 2]), np.maximum(a[:, None, d], a[:, None, d + 2])
-        line &= (lo <= np.maximum(b[None, :, d], b[None, :, d + 2])) & (hi >= np.minimum(b[None, :, d], b[None, :, d + 2]))
-    return bool(line.any())
+    return any(_meet(a[i], b[j]).any() for i, j in near_pairs(a, b))
 
 
 def intersects(a: Geometry, b: Geometry) -> bool:
@@ -226,6 +241,7 @@ def intersects(a: Geometry, b: Geometry) -> bool:
 
 
 def _to_segments(points: np.ndarray, e: np.ndarray) -> float:
+    """The least distance of points to segments."""
     p, q, d = points[:, None, :], e[None, :, :2], e[None, :, 2:] - e[None, :, :2]
     length = (d * d).sum(axis=2)
     t = np.clip(np.divide(((p - q) * d).sum(axis=2), length, out=np.zeros((len(points), len(e))), where=length > 0), 0, 1)
@@ -233,40 +249,68 @@ def _to_segments(points: np.ndarray, e: np.ndarray) -> float:
     return float(np.sqrt((gap * gap).sum(axis=2)).min())
 
 
+def _gap(a: np.ndarray, b: np.ndarray) -> float:
+    """The least distance of segments that don't meet: stretches of STRETCH of them, the nearest boxes first, until no box is near enough."""
+
+    def stretches(e: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        parts = [e[k : k + STRETCH] for k in range(0, len(e), STRETCH)]
+        return parts, np.array([[*np.minimum(x[:, :2], x[:, 2:]).min(axis=0), *np.maximum(x[:, :2], x[:, 2:]).max(axis=0)] for x in parts])
+
+    (pa, ba), (pb, bb) = stretches(a), stretches(b)
+    best = np.inf
+    for k in range(0, len(pa), STRETCH):
+        box = ba[k : k + STRETCH, None]
+        apart = np.maximum(0, np.maximum(box[..., :2] - bb[None, :, 2:], bb[None, :, :2] - box[..., 2:]))
+        low = np.sqrt((apart * apart).sum(axis=2))
+        for at in np.argsort(low, axis=None):
+            i, j = divmod(int(at), len(pb))
+            if low[i, j] >= best:
+                break
+            x, y = pa[k + i], pb[j]
+            best = min(best, _to_segments(x[:, :2], y), _to_segments(x[:, 2:], y), _to_segments(y[:, :2], x), _to_segments(y[:, 2:], x))
+    return best
+
+
 def distance(a: Geometry, b: Geometry) -> float:
     """0 if they meet, else the least distance of their edges; nan if one is empty."""
     if not a or not b:
         return float("nan")
     if intersects(a, b):
         return 0.0
-    ea, eb = segments(a), segments(b)
-    return min(_to_segments(ea[:, :2], eb), _to_segments(eb[:, :2], ea))
+    return _gap(segments(a), segments(b))
 
 
 def _self_crossing(e: np.ndarray, n: int) -> bool:
     """Whether edges of one ring of n edges cross or overlap other than at neighbours' shared points."""
-    t, u, cross, off = _crossings(e, e)
-    k = np.arange(n)
-    step = (k[None, :] - k[:, None]) % n
-    apart = (step > 1) & (step < n - 1)
-    if ((cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1) & apart).any():
+    after = np.roll(e, -1, axis=0)
+    back = ((e[:, 2:] - e[:, :2]) * (after[:, 2:] - after[:, :2])).sum(axis=1) < 0
+    if back.any() and (_side(e[back, :2], e[back, 2:], after[back, 2:]) == 0).any():
         return True
-    back = (step == 1) & (cross == 0) & (((e[:, None, 2:] - e[:, None, :2]) * (e[None, :, 2:] - e[None, :, :2])).sum(axis=2) < 0)
-    return bool(back.any())
+    for i, j in near_pairs(e):
+        step = (j - i) % n
+        apart = (step > 1) & (step < n - 1)
+        if _meet(e[i[apart]], e[j[apart]]).any():
+            return True
+    return False
 
 
 def _meetings(a: np.ndarray, b: np.ndarray) -> tuple[set[tuple[float, float]], bool]:
     """(points where segments of a meet segments of b; whether any two run along each other)."""
-    t, u, cross, off = _crossings(a, b)
-    i, j = np.nonzero((cross != 0) & (t >= -1e-12) & (t <= 1 + 1e-12) & (u >= -1e-12) & (u <= 1 + 1e-12))
-    points = a[i, :2] + t[i, j, None] * (a[i, 2:] - a[i, :2])
-    along = (cross == 0) & (off == 0)
-    for d in (0, 1):
-        lo, hi = np.minimum(a[:, None, d], a[:, None, d + 2]), np.maximum(a[:, None, d], a[:, None, d + 2])
-        low, high = np.minimum(b[None, :, d], b[None, :, d + 2]), np.maximum(b[None, :, d], b[None, :, d + 2])
-        flat = (lo == hi) & (low == high)
-        along &= np.where(flat, lo == low, np.minimum(hi, high) > np.maximum(lo, low))
-    return {tuple(x) for x in np.round(points, 9).tolist()}, bool(along.any())
+    found: set[tuple[float, float]] = set()
+    for i, j in near_pairs(a, b, margin=1e-9):
+        x, y = a[i], b[j]
+        t, u, cross, off = _crossings(x, y)
+        hit = (cross != 0) & (t >= -1e-12) & (t <= 1 + 1e-12) & (u >= -1e-12) & (u <= 1 + 1e-12)
+        found.update(map(tuple, np.round(x[hit, :2] + t[hit, None] * (x[hit, 2:] - x[hit, :2]), 9).tolist()))
+        along = (cross == 0) & (off == 0)
+        for d in (0, 1):
+            lo, hi = np.minimum(x[:, d], x[:, d + 2]), np.maximum(x[:, d], x[:, d + 2])
+            low, high = np.minimum(y[:, d], y[:, d + 2]), np.maximum(y[:, d], y[:, d + 2])
+            flat = (lo == hi) & (low == high)
+            along &= np.where(flat, lo == low, np.minimum(hi, high) > np.maximum(lo, low))
+        if along.any():
+            return found, True
+    return found, False
 
 
 def _edges(r: np.ndarray) -> np.ndarray:
@@ -340,118 +384,28 @@ def bad_holes(g: Geometry | None, polygons_only: bool = True) -> int:
     return count
 
 
-def _split(e: np.ndarray) -> dict[tuple, int]:
-    """Edges cut where they meet others: pieces (lower end first) and how many lie on each."""
-    pieces: dict[tuple, int] = {}
-    for at in range(0, len(e), 256):
-        some = e[at : at + 256]
-        t, u, cross, off = _crossings(some, e)
-        for k in range(len(some)):
-            a, d = some[k, :2], some[k, 2:] - some[k, :2]
-            cuts = [0.0, 1.0, *t[k][(cross[k] != 0) & (t[k] > 0) & (t[k] < 1) & (u[k] >= 0) & (u[k] <= 1)]]
-            for j in np.flatnonzero((cross[k] == 0) & (off[k] == 0)):
-                cuts += [s for s in (((e[j, m : m + 2] - a) @ d) / (d @ d) for m in (0, 2)) if 0 < s < 1]
-            ends = [tuple(x) for x in np.round(a + np.unique(cuts)[:, None] * d, 9).tolist()]
-            for p, q in zip(ends, ends[1:], strict=False):
-                if p != q:
-                    key = (min(p, q), max(p, q))
-                    pieces[key] = pieces.get(key, 0) + 1
-    return pieces
-
-
-def _beside(p: tuple, q: tuple, side: int) -> tuple[float, float]:
-    """A point just to the left (side 1) or right (-1) of the middle of a piece."""
-    dx, dy = q[0] - p[0], q[1] - p[1]
-    return (p[0] + q[0]) / 2 - side * 1e-7 * dy, (p[1] + q[1]) / 2 + side * 1e-7 * dx
-
-
-def _odd_pieces(g: Geometry) -> list[tuple[tuple, tuple]]:
-    """Of pieces that lie on each other an odd number leaves one; each runs with the odd side on its left."""
-    odd = [piece for piece, n in _split(_edges_of(g)).items() if n % 2]
-    return [(p, q) if contains_point(g, *_beside(p, q, 1)) else (q, p) for p, q in odd]
-
-
-def _outer_pieces(geometries: list[Geometry]) -> list[tuple[tuple, tuple]]:
-    """The pieces with a covered and an open side; each runs with the covered side on its left."""
-    e = np.concatenate([_edges_of(g) for g in geometries])
-    boxes = [(lambda x: (*x.min(axis=0), *x.max(axis=0)))(np.concatenate([r for p in g for r in p])) for g in geometries]
-
-    def covered(x: float, y: float) -> bool:
-        return any(b[0] <= x <= b[2] and b[1] <= y <= b[3] and contains_point(g, x, y) for g, b in zip(geometries, boxes, strict=True))
-
-    out = []
-    for p, q in _split(e):
-        left, right = covered(*_beside(p, q, 1)), covered(*_beside(p, q, -1))
-        if left != right:
-            out.append((p, q) if left else (q, p))
-    return out
-
-
 def _edges_of(g: Geometry) -> np.ndarray:
     e = segments(g)
     return e[(e[:, :2] != e[:, 2:]).any(axis=1)]
 
 
-def _signed_area(loop: list[tuple]) -> float:
-    r = np.array(loop) - np.array(loop[0])
-    return float((r[:-1, 0] * r[1:, 1] - r[1:, 0] * r[:-1, 1]).sum()) / 2
-
-
-def _loops(pieces: list[tuple[tuple, tuple]]) -> list[list[tuple]]:
-    """Closed loops of directed pieces: at each point the sharpest turn to the left, and a loop is taken off when it closes."""
-    onward: dict[tuple, list[tuple]] = {}
-    for p, q in sorted(pieces):
-        onward.setdefault(p, []).append(q)
-    out = []
-    while onward:
-        path = [min(onward)]
-        while True:
-            here = path[-1]
-            ways = onward.get(here)
-            if not ways:
-                break
-            if len(path) > 1:
-                back = np.arctan2(path[-2][1] - here[1], path[-2][0] - here[0])
-                nxt = min(ways, key=lambda w: (back - np.arctan2(w[1] - here[1], w[0] - here[0])) % (2 * np.pi) or 2 * np.pi)
-            else:
-                nxt = ways[0]
-            ways.remove(nxt)
-            if not ways:
-                del onward[here]
-            if nxt in path:
-                start = path.index(nxt)
-                out.append([*path[start:], nxt])
-                path = path[: start + 1]
-            else:
-                path.append(nxt)
-    return [x for x in out if len(x) >= 4 and _signed_area(x) != 0]
-
-
-def _assembled(pieces: list[tuple[tuple, tuple]]) -> Geometry | None:
-    """The polygons that directed pieces bound: loops to the left are shells, others holes of the smallest shell around them."""
-    loops = _loops(pieces)
-    shells = [[np.array(x)] for x in loops if _signed_area(x) > 0]
-    for x in loops:
-        if _signed_area(x) < 0:
-            around = [s for s in shells if contains_point([[s[0]]], *_beside(x[0], x[1], 1))]
-            if around:
-                min(around, key=lambda s: _ring_area(s[0])).append(np.array(x))
-    return shells or None
+def _dissolved(geometries: list[Geometry]) -> Geometry | None:
+    edges = [_edges_of(g) for g in geometries]
+    owner = np.repeat(np.arange(len(edges)), [len(e) for e in edges])
+    return Arrangement(np.concatenate(edges), owner).polygons() or None if len(owner) else None
 
 
 def repair(g: Geometry | None) -> Geometry | None:
-    """A valid geometry that covers the points of odd parity; None if nothing is left."""
+    """A valid geometry that covers the points of odd parity; None if nothing is left or a coordinate isn't finite. Points within rounding of each other become one."""
     if g is None or is_valid(g):
         return g
-    return _assembled(_odd_pieces(g)) if len(_edges_of(g)) else None
+    return _dissolved([g]) if all(np.isfinite(r).all() for p in g for r in p) else None
 
 
 def union(geometries: list[Geometry]) -> Geometry | None:
     """One geometry that covers what any of them covers; None if nothing is covered. One geometry is taken as it is."""
     some = [g for g in geometries if g]
-    if not some:
-        return None
-    return some[0] if len(some) == 1 else _assembled(_outer_pieces(some))
+    return some[0] if len(some) == 1 else _dissolved(some) if some else None
 
 
 def clip(g: Geometry, minx: float, miny: float, maxx: float, maxy: float) -> Geometry:

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.functions import geometry as geo
 from plinth.functions import kernels
+from plinth.functions.ragged import read_polygons
 from plinth.storage import checkpoint
 
 MIN_AREA = 15.0
@@ -125,13 +125,7 @@ def relevant_only(df: DataFrame) -> DataFrame:
 def parse_geometry(df: DataFrame, wkt: str, degrees: bool = True) -> DataFrame:
     """Add what cleaning needs of a WKT column, in one pass that is kept (of a stream: that runs on): ``wkb`` (repaired where that was needed),
     ``parsed``, ``was_valid``, ``repaired``, ``holes`` (bad ones) and ``area`` (of Web Mercator where the text is in degrees)."""
-    out = df.withColumn("wkb", kernels.wkt_to_wkb(F.col(wkt)))
-    out = out.withColumns({"parsed": F.col("wkb").isNotNull(), "was_valid": kernels.st_is_valid(F.col("wkb"))})
-    out = out.withColumn("wkb", F.when(F.col("was_valid"), F.col("wkb")).otherwise(kernels.st_repair(F.col("wkb"))))
-    out = out.withColumns({"repaired": ~F.col("was_valid") & F.col("wkb").isNotNull(), "holes": kernels.st_bad_holes(F.col("wkb")), "__g": kernels.wkb_to_geometry(F.col("wkb"))})
-    if degrees:
-        out = out.withColumn("__g", geo.to_mercator("__g"))
-    out = out.withColumn("area", geo.area("__g")).drop("__g")
+    out = df.withColumn("__p", read_polygons(F.col(wkt), degrees)).select("*", "__p.*").drop("__p")
     return out if df.isStreaming else checkpoint(out)
 
 

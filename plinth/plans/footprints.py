@@ -253,7 +253,7 @@ def component_sizes(spark, sf_dir: str) -> DataFrame:
     return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy("size").limit(20)
 
 
-COMPONENT_SIZES = oracle("SELECT size, count(*) AS n FROM (SELECT label, count(*) AS size FROM label GROUP BY 1) GROUP BY size ORDER BY size LIMIT 20", *GRAPH[: len(MATCH) + 4], recursive=True)
+COMPONENT_SIZES = oracle("SELECT size, count(*) AS n FROM (SELECT label, count(*) AS size FROM label GROUP BY 1) GROUP BY size QUALIFY row_number() OVER (ORDER BY size) <= 20", *GRAPH[: len(MATCH) + 4], recursive=True)
 
 
 def confidence_reliability(spark, sf_dir: str) -> DataFrame:

@@ -373,7 +373,44 @@ NEAR_DUPLICATES = oracle(
     *_two_sql("fb"),
 )
 
+# ---- buildings at any angle that share walls
+
+_TURN, _UTM_X, _UTM_Y = 0.37, 500_000.0, 6_600_000.0
+
+
+def _turned(points: list[tuple[Column, Column]]) -> Column:
+    """The WKT ring of points in a building's own frame, turned by its angle and moved to its place."""
+    a = F.col("id") * _TURN
+    return _text([(F.lit(_UTM_X) + F.col("x0") + x * F.cos(a) - y * F.sin(a), F.lit(_UTM_Y) + F.col("y0") + x * F.sin(a) + y * F.cos(a)) for x, y in points])
+
+
+def party_walls(spark, sf_dir: str) -> DataFrame:
+    """Of each footprint at an angle: a terrace of three houses whose walls are shared in part, dissolved; and an outline that runs
+    back along its own wall into an annex, repaired."""
+    df = footprints_a(spark, sf_dir).select("id", "x0", "y0", "w", "h").withColumn("d", F.lit(3.0) + F.col("id") % 5)
+    w, h, d, zero = F.col("w"), F.col("h"), F.col("d"), F.lit(0.0)
+
+    def box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+        return _turned([(x1, y1), (x2, y1), (x2, y2), (x1, y2)])
+
+    houses = [box(zero, zero, w, h), box(w, F.lit(0.5), w + d, h + 1), box(-d, F.lit(-1.0), zero, h / 2)]
+    back = [(zero, zero), (w, zero), (w, h), (w / 4, h), (w / 4, zero), (w / 8, zero), (w / 8, -d), (zero, -d)]
+    rings = [F.concat(F.lit("POLYGON "), r, F.lit(")")) for r in (*houses, _turned(back))]
+    texts = df.select("id", F.posexplode(F.array(*rings)).alias("pos", "wkt"))
+    read = cleaning.parse_geometry(texts, "wkt", degrees=False)
+    whole = read.groupBy("id").agg(F.collect_list(F.when(F.col("pos") < 3, F.col("wkb"))).alias("houses"), F.max_by("was_valid", "pos").alias("was_valid"), F.max_by("area", "pos").alias("repaired_area"))
+    whole = whole.withColumn("union", kernels.st_union(F.col("houses")))
+    whole = checkpoint(whole.select("*", kernels.st_is_valid(F.col("union")).alias("valid"), kernels.wkb_to_geometry(F.col("union")).alias("g")))
+    return whole.select("id", "valid", F.size("g").alias("parts"), F.size(F.flatten("g")).alias("rings"), F.round(geo.area("g"), 3).alias("union_area"), "was_valid", F.round("repaired_area", 3).alias("repaired_area"))
+
+
+PARTY_WALLS = oracle(
+    "SELECT id, true AS valid, 1 AS parts, 1 AS rings, round(w * h + d * (h + 0.5) + d * (h / 2 + 1), 3) AS union_area, false AS was_valid, round(w * h * 3 / 4 + w / 8 * d, 3) AS repaired_area "
+    "FROM (SELECT id, w, h, 3.0::DOUBLE + id % 5 AS d FROM fa)"
+)
+
 QUERIES = {
+    "geo_party_walls": (party_walls, PARTY_WALLS),
     "flagship_match_types": (match_types, MATCH_TYPES),
     "clean_geometry_audit": (geometry_audit, GEOMETRY_AUDIT),
     "clean_geometry_summary": (geometry_summary, GEOMETRY_SUMMARY),
