@@ -3,10 +3,10 @@
 A line's spread is the number of distinct sites (here: sources) it stands on.
 Sketches of the sites are built for each line hash where the rows lie and
 merged by aggregation. Where a sketch's estimate can't decide against MIN_SITES
-for its error, the exact number of distinct sites is counted. Lines of
-MIN_WORDS words or more (in the pipeline's stage, of STAGE_WORDS or more: any
-line with a word) that spread over MIN_SITES sites or more are boilerplate: their first occurrence (smallest doc_id, then position) stays, the
-others are cut from their documents.
+for its error, the exact number of distinct sites is counted. Lines with a word,
+however short, that spread over MIN_SITES sites or more are boilerplate: their
+first occurrence (smallest doc_id, then position) stays, the others are cut from
+their documents.
 
 Lines are known by two hashes of 96 bits together. Sketches and minima combine
 before the shuffle, so a line that is everywhere costs a row a task. Texts are
@@ -27,10 +27,6 @@ from plinth.llm.texts import spaces_sql
 from plinth.storage import broadcast_within, checkpoint, row_count
 
 MIN_SITES = 6
-#: Of op1, as its SQL has it.
-MIN_WORDS = 5
-#: Of the pipeline's stage: the sites alone decide.
-STAGE_WORDS = 1
 LG_K = 12
 #: Four standard errors of a sketch of 2^LG_K registers; at least one site.
 BAND = 4 * 1.04 / (2**LG_K) ** 0.5
@@ -38,26 +34,22 @@ LOW, HIGH = MIN_SITES - max(1.0, BAND * MIN_SITES), MIN_SITES + max(1.0, BAND *
 BROADCAST_LINES = 200_000
 
 
-def _words(least: int) -> str:
-    """What a line of ``least`` words or more matches."""
-    return rf"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{least - 1}}}[^\x20\x09-\x0D]"
-
-
-_WORDS = _words(MIN_WORDS)
+#: What a line with a word matches.
+_WORD = r"[^\x20\x09-\x0D]"
 _ROW = "xxhash64(text)"
 
 
-def _lines(docs: DataFrame, words: int) -> DataFrame:
-    """Lines of enough words: doc_id, th (of the text), site, pos, h1, h2."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """Lines with a word: doc_id, th (of the text), site, pos, h1, h2."""
     rows = docs.select("doc_id", "source", F.expr(f"{_ROW} AS th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.withColumn("line", F.expr(f"trim(BOTH {spaces_sql()} FROM line)")).where(F.col("line").rlike(_words(words)))
+    rows = rows.withColumn("line", F.expr(f"trim(BOTH {spaces_sql()} FROM line)")).where(F.col("line").rlike(_WORD))
     site = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     return rows.select("doc_id", "th", site.alias("site"), "pos", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"))
 
 
-def boilerplate(docs: DataFrame, words: int = MIN_WORDS) -> DataFrame:
+def boilerplate(docs: DataFrame) -> DataFrame:
     """The lines to cut: h1, h2 and first (doc_id, pos, th)."""
-    lines = _lines(docs, words)
+    lines = _lines(docs)
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min(F.struct(F.col("doc_id"), F.col("pos"), F.col("th"))).alias("first"))
     spread = spread.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").cast("double").alias("sites")).where(F.col("sites") >= LOW)
     spread = checkpoint(spread)
@@ -69,16 +61,16 @@ def boilerplate(docs: DataFrame, words: int = MIN_WORDS) -> DataFrame:
     return checkpoint(sure.unionByName(spread.join(exact, ["h1", "h2"], "left_semi")).select("h1", "h2", "first"))
 
 
-def _cuts(docs: DataFrame, words: int) -> DataFrame:
+def _cuts(docs: DataFrame) -> DataFrame:
     """Positions to cut: doc_id, th, cut (array of positions)."""
-    found = boilerplate(docs, words)
-    hit = _lines(docs, words).join(broadcast_within(found, row_count(found), BROADCAST_LINES), ["h1", "h2"])
+    found = boilerplate(docs)
+    hit = _lines(docs).join(broadcast_within(found, row_count(found), BROADCAST_LINES), ["h1", "h2"])
     return hit.where("NOT (struct(doc_id, pos, th) <=> first)").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("cut"))
 
 
-def _dedup(docs: DataFrame, words: int) -> DataFrame:
+def _dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*(F.col(c) for c in docs.columns if c != "text")).alias("__row"), "doc_id", "text", F.expr(f"{_ROW} AS th"))
-    cuts = _cuts(docs, words).hint("shuffle_hash")
+    cuts = _cuts(docs).hint("shuffle_hash")
     joined = rows.alias("d").join(cuts.alias("c"), F.expr("d.doc_id <=> c.doc_id AND d.th = c.th"), "left")
     keep = "array_join(transform(array_except(sequence(0, size(__lines) - 1), cut), i -> __lines[i]), '\n')"
     out = joined.select("__row", "d.text", "c.cut", F.when(F.col("c.cut").isNotNull(), F.split("d.text", "\n")).alias("__lines"))
@@ -91,14 +83,14 @@ def _dedup(docs: DataFrame, words: int) -> DataFrame:
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with the same columns and its lines cut, however short they are."""
-    out = _dedup(docs, STAGE_WORDS)
+    """``docs`` with the same columns and its lines cut."""
+    out = _dedup(docs)
     return out.select(*(F.col("__text").alias("text") if c == "text" else F.col("__row").getField(c).alias(c) for c in docs.columns))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, text without the lines that are cut, n_lines (before), n_removed."""
-    out = _dedup(docs.select("doc_id", "text", "source"), MIN_WORDS)
+    out = _dedup(docs.select("doc_id", "text", "source"))
     return out.select(F.col("__row.doc_id").alias("doc_id"), F.col("__text").alias("text"), F.col("__n").alias("n_lines"), F.col("__removed").alias("n_removed"))
 
 
@@ -112,7 +104,7 @@ WITH l AS (
 ), k AS (
   SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l
 ), e AS (
-  SELECT * FROM k WHERE regexp_matches(key, '{_WORDS}')
+  SELECT * FROM k WHERE regexp_matches(key, '{_WORD}')
 ), b AS (
   SELECT key, min((doc_id, pos)) AS first FROM e GROUP BY key HAVING count(DISTINCT coalesce('s' || source, 'n')) >= {MIN_SITES}
 ), m AS (
