@@ -46,17 +46,22 @@ _LETTER = regex.compile(r"\p{L}")
 _FOLD = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
-def _codes(text: str) -> np.ndarray:
-    """Buckets of the byte trigrams of a text, lower-cased, with signs and digits as spaces."""
-    a = np.frombuffer(b" " + text.lower().encode("utf-8", "surrogatepass").translate(_FOLD) + b" ", np.uint8).astype(np.uint32)
-    grams = a[:-2] | a[1:-1] << np.uint32(8) | a[2:] << np.uint32(16)
-    return (grams * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)
+def _bytes(text: str) -> np.ndarray:
+    """A text's bytes, lower-cased, with signs and digits as spaces, between two spaces."""
+    return np.frombuffer(b" " + text.lower().encode("utf-8", "surrogatepass").translate(_FOLD) + b" ", np.uint8)
 
 
-def _chunks(text: str):
-    """Stretches of a text that bound memory; they overlap so that no trigram is lost."""
-    for at in range(0, len(text), CHUNK):
-        yield text[at : at + CHUNK + 2]
+def _grams(a: np.ndarray) -> np.ndarray:
+    """Buckets of the trigrams of bytes."""
+    a = a.astype(np.uint32)
+    return ((a[:-2] | a[1:-1] << np.uint32(8) | a[2:] << np.uint32(16)) * np.uint32(2654435761)) >> np.uint32(32 - BUCKET_BITS)
+
+
+def _codes(text: str):
+    """The buckets of all trigrams of a text, in stretches that bound memory."""
+    a = _bytes(text)
+    for at in range(0, len(a) - 2, CHUNK):
+        yield _grams(a[at : at + CHUNK + 2])
 
 
 def has_letter(text: str | None) -> bool:
@@ -83,8 +88,7 @@ class Model:
     def evidence(self, text: str) -> np.ndarray:
         """Mean weight of a text's trigrams by bit, times the root of their number's logarithm."""
         total, n = np.zeros(self.code.shape[1]), 0
-        for part in _chunks(text):
-            codes = _codes(part)
+        for codes in _codes(text):
             total += self.weights[codes].sum(axis=0, dtype=np.float64)
             n += len(codes)
         return total / max(n, 1) * np.sqrt(np.log1p(n))
@@ -139,8 +143,8 @@ def _counts(batches):
     for b in batches:
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
             own = sums.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
-            for part in _chunks(text.as_py()):
-                own += np.bincount(_codes(part), minlength=len(own))
+            for codes in _codes(text.as_py()):
+                own += np.bincount(codes, minlength=len(own))
     for lang, own in sums.items():
         at = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at])], ["lang", "bucket", "n"])

@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pytest
 
 from plinth.llm import langid as L
@@ -44,11 +45,14 @@ def test_prediction_ignores_lang_source_and_id(spark, sf):
 
 
 def test_chunks_cover_long_texts(monkeypatch):
-    text = "der die das und ein " * 400
+    text = "der die das und ein ΑΣ ß 漢字, 12 " * 300
+    all_codes = list(L._codes(text))
     whole = L.Model(["a", "b"], L.codewords(2), __import__("numpy").random.default_rng(0).standard_normal((1 << L.BUCKET_BITS, 1)).astype("f4"), None, None)
     once = whole.evidence(text)
     monkeypatch.setattr(L, "CHUNK", 100)
-    assert whole.evidence(text) == pytest.approx(once, rel=0.15, abs=0.05)
+    parts = list(L._codes(text))
+    assert len(all_codes) == 1 and len(parts) > 50 and np.concatenate(parts).tolist() == all_codes[0].tolist()
+    assert whole.evidence(text) == pytest.approx(once, rel=1e-9)
 
 
 def plain_predict(model, text):
