@@ -59,10 +59,23 @@ def test_stages_take_effect(spark, sf, tmp_path):
 
 
 def test_empty_and_odd_tables(spark, docs, no_docs, tmp_path):
-    columns = ["doc_id", "text", "lang", "source", "n_chars"]
-    for name, df in (("odd", docs), ("none", no_docs)):
-        now = df.select(*columns)
+    """Nulls everywhere, long texts, repeated rows, and columns with the names that stages use, through all stages."""
+    own = bpe.worker_bpe(bpe.default_path())
+    for name, now in (("odd", docs), ("none", no_docs)):
+        columns, held = now.columns, [now]
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            stage(spark, now, "").write.parquet(str(tmp_path / f"{name}{k}"))
-            now = spark.read.parquet(str(tmp_path / f"{name}{k}"))
-        assert now.count() == 0 or name == "odd"
+            stage(spark, held[-1], "").write.parquet(str(tmp_path / f"{name}{k}"))
+            held.append(spark.read.parquet(str(tmp_path / f"{name}{k}")))
+        assert all(df.columns == columns for df in held[:-1])
+        raw, judged, cut, single, mixed, ids = ([r.asDict() for r in df.collect()] for df in held)
+        if name == "none":
+            assert not any((judged, cut, single, mixed, ids))
+            continue
+        extra = [c for c in columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+        assert all({c: r[c] for c in extra} == {c: raw[0][c] for c in extra} for rows in (judged, cut, single, mixed) for r in rows)
+        kept = {r["doc_id"] for r in quality.judge(docs).where("kept").collect()}
+        assert kept == {r["doc_id"] for r in judged} == {10, 11} and sorted(r["text"] for r in cut) == sorted(r["text"] for r in judged)
+        assert [r["doc_id"] for r in single] == [10]
+        # The only document is its source's and takes its part of the words once.
+        assert [(r["doc_id"], r["text"]) for r in mixed] == [(10, single[0]["text"])]
+        assert [(r["doc_id"], r["ids"]) for r in ids] == [(10, list(own.encode(single[0]["text"])))]
