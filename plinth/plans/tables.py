@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plinth.functions import geometry as geo
 from plinth.functions import kernels
 from plinth.functions.numeric import QUALITY_LABELS, QUALITY_WORST, VALIDATION_LABELS, VALIDATION_WORST, grid_key, quality_label, quality_score, validation_label, validation_score
-from plinth.operators import maplayers, matching, modelling, neighbors, validation
+from plinth.operators import maplayers, matching, modelling, neighbors, regressions, validation
 from plinth.operators import profiling as p
 from plinth.plans import footprints as fp
 from plinth.plans.fixtures import footprints_a, footprints_b, oracle
@@ -266,14 +266,13 @@ def spatial_folds(spark, sf_dir: str) -> DataFrame:
     return rows.join(folds, "spatial_group").groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("spatial_group").alias("n_groups"))
 
 
-SPATIAL_FOLDS = oracle(
-    "SELECT fold, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_groups FROM deal WHERE i > 0 GROUP BY fold",
+_DEAL = [
     _MODEL,
     "gs AS (SELECT spatial_group, n, row_number() OVER (ORDER BY n DESC, spatial_group) AS i FROM (SELECT spatial_group, count(*) AS n FROM m WHERE target_height IS NOT NULL GROUP BY spatial_group))",
     "deal AS (SELECT CAST(0 AS BIGINT) AS i, [CAST(0 AS BIGINT), 0, 0, 0, 0] AS loads, -1 AS fold, CAST(0 AS BIGINT) AS n UNION ALL SELECT gs.i, "
     "list_transform(loads, lambda x, k: CASE WHEN k = list_position(loads, list_min(loads)) THEN x + gs.n ELSE x END), list_position(loads, list_min(loads)) - 1, gs.n FROM deal JOIN gs ON gs.i = deal.i + 1)",
-    recursive=True,
-)
+]
+SPATIAL_FOLDS = oracle("SELECT fold, CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_groups FROM deal WHERE i > 0 GROUP BY fold", *_DEAL, recursive=True)
 
 
 def regression_metrics(spark, sf_dir: str) -> DataFrame:
@@ -297,12 +296,33 @@ _SMALL = ["median_stairs_b", "median_avg_floor_height_b", "sum_area_b", "mode_pu
 def _model(kind: str, params: dict):
     def run(spark, sf_dir: str) -> DataFrame:
         rows = modelling.split_observed(_model_rows(spark, sf_dir))[0]
-        found = modelling.cross_validate(rows, kind, _SMALL, params, folds=3)
+        found = modelling.cross_validate(rows, kind, _SMALL, params)
         return modelling.fold_metrics(found)
 
     return run
 
 
+_SETS = {"1_stairs": ["median_stairs_b"], "2_stairs_and_floor_height": ["median_stairs_b", "median_avg_floor_height_b"]}
+
+
+def linear_sets(spark, sf_dir: str) -> DataFrame:
+    rows = modelling.split_observed(_model_rows(spark, sf_dir))[0]
+    return regressions.linear_metrics(rows, _SETS).select("feature_set", "fold", *_r("mse", "rmse", "mae", "r2"))
+
+
+_LINEAR = [
+    *_DEAL,
+    "x AS (SELECT deal.fold, m.target_height AS y, m.stairs AS a, m.avg_floor_height AS b FROM m JOIN gs USING (spatial_group) JOIN deal ON deal.i = gs.i WHERE m.target_height IS NOT NULL)",
+    "mu AS (SELECT k.fold, avg(y) AS y, avg(a) AS a, avg(b) AS b FROM x JOIN (SELECT DISTINCT fold FROM x) k ON x.fold <> k.fold GROUP BY k.fold)",
+    "z AS (SELECT mu.fold, x.fold AS own, x.y, mu.y AS base, x.y - mu.y AS zy, coalesce(x.a - mu.a, 0) AS za, coalesce(x.b - mu.b, 0) AS zb FROM x CROSS JOIN mu)",
+    "s AS (SELECT fold, sum(za * za) AS aa, sum(za * zb) AS ab, sum(zb * zb) AS bb, sum(za * zy) AS ay, sum(zb * zy) AS yb FROM z WHERE own <> fold GROUP BY fold)",
+    "w AS (SELECT '1_stairs' AS feature_set, fold, ay / aa AS wa, CAST(0 AS DOUBLE) AS wb FROM s UNION ALL SELECT '2_stairs_and_floor_height', fold, (ay * bb - yb * ab) / (aa * bb - ab * ab), (yb * aa - ay * ab) / (aa * bb - ab * ab) FROM s)",
+    "e AS (SELECT feature_set, fold, z.y, z.y - (base + wa * za + wb * zb) AS e FROM z JOIN w USING (fold) WHERE own = fold)",
+    "q AS (SELECT feature_set, fold, avg(e * e) AS mse, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae, 1 - sum(e * e) / (var_pop(y) * count(*)) AS r2 FROM e GROUP BY 1, 2)",
+]
+LINEAR_SETS = oracle(f"SELECT feature_set, fold, {_rs('mse', 'rmse', 'mae', 'r2')} FROM q", *_LINEAR, recursive=True)
+
+
 def fill_provenance(spark, sf_dir: str) -> DataFrame:
     rows = _model_rows(spark, sf_dir)
     constant = rows.select("component_id", F.lit(3.5).alias("target_height_predicted"))
@@ -456,6 +476,7 @@ QUERIES = {
     "model_spatial_folds": (spatial_folds, SPATIAL_FOLDS),
     "model_regression_metrics": (regression_metrics, REGRESSION_METRICS),
     "model_fold_summary": (fold_summary, FOLD_SUMMARY),
+    "model_linear_sets": (linear_sets, LINEAR_SETS),
     "model_linear": (_model("linear", {}), None),
     "model_forest": (_model("forest", modelling.BEST["forest"]), None),
     "model_gbt": (_model("boosted_categories", {"maxIter": 10, "maxDepth": 5}), None),
