@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions import kernels
 from plinth.functions.ragged import read_polygons
+from plinth.operators.ranking import group_quantiles, quantiles
 from plinth.storage import checkpoint
 
 MIN_AREA = 15.0
@@ -59,11 +60,13 @@ def swap_floors(df: DataFrame, low: str = "gkh_floor_count_min", high: str = "gk
 def fill_by_group_median(df: DataFrame, column: str, group: str, where: Column, flag: str) -> DataFrame:
     """Fill where ``where`` holds: the group's median (of all its values), else the median of all rows.
 
-    Rows of a null group have no group median. The group medians are a small
-    aggregate, joined back; the optimiser broadcasts them by measured size.
+    Rows of a null group have no group median. The two columns are kept once and
+    all medians come from them, with no group's values in one task however many it
+    has. The group medians are joined back; the optimiser broadcasts them by measured size.
     """
-    medians = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("__g")).agg(F.median(column).alias("__m"))
-    overall = df.agg(F.median(column).alias("__all"))
+    values = checkpoint(df.select(group, column))
+    medians = group_quantiles(values, group, column, [0.5]).select(F.col(group).alias("__g"), F.col("q")[0].alias("__m"))
+    overall = quantiles(values, {"q": (F.col(column), [0.5])}).select(F.col("q")[0].alias("__all"))
     joined = df.join(medians, F.col(group) == F.col("__g"), "left").crossJoin(F.broadcast(overall))
     value = F.coalesce("__m", "__all")
     # A group whose values are all null has a null median of its own, which stays.

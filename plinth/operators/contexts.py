@@ -145,8 +145,8 @@ def validation_context(table: DataFrame, title: str = "Validation", logo: str =
         "spatial": [box("checked", gap_said["n"]), box("mean / median gap", f"{gap_said['mean']} / {gap_said['p50']} m"), box("75 / 90 / 95 / 99 %", " / ".join(gap_said[q] for q in ("p75", "p90", "p95", "p99"))), box("over 20 m", gap_said["above_20"])],
         "fill_sources": sources, "extreme": tall.asDict() if tall else None,
         "histograms": {
-            "up to 100 m": histogram_svg(p.histogram(heights.where("target_height_filled <= 100"), "target_height_filled", bins, left_closed=True), bins),
-            "all": histogram_svg(p.histogram(heights, "target_height_filled", bins, left_closed=True), bins),
+            "up to 100 m": histogram_svg(p.histogram(heights.where("target_height_filled <= 100"), "target_height_filled", bins), bins),
+            "all": histogram_svg(p.histogram(heights, "target_height_filled", bins), bins),
         },
     }
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions.numeric import number
 from plinth.operators.ranking import quantiles
+from plinth.storage import checkpoint
 
 
 def existing(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -38,13 +39,14 @@ def null_share(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def describe(df: DataFrame, columns: list[str], percentiles: list[float] | None = None) -> DataFrame:
     """A row a column: count, mean, std (ddof 1), min, the exact percentiles asked for and p50, max."""
     ps = sorted({*(percentiles or [0.25, 0.5, 0.75]), 0.5})
+    df = checkpoint(df.select(*(number(c).alias(f"v{k}") for k, c in enumerate(columns))))  # what is behind it is computed once
     parts, measures = [], []
     for k, c in enumerate(columns):
-        v = number(c)
+        v = F.col(f"v{k}")
         measures += [F.count(v).alias(f"n{k}"), F.avg(v).alias(f"m{k}"), F.stddev_samp(v).alias(f"s{k}"), F.min(v).alias(f"lo{k}"), F.max(v).alias(f"hi{k}")]
         q = [F.col(f"q{k}")[i].alias(percent(p)) for i, p in enumerate(ps)]
         parts.append(F.struct(F.lit(c).alias("column"), F.col(f"n{k}").alias("count"), F.col(f"m{k}").alias("mean"), F.col(f"s{k}").alias("std"), F.col(f"lo{k}").alias("min"), *q, F.col(f"hi{k}").alias("max")))
-    one = df.agg(*measures).crossJoin(quantiles(df, {f"q{k}": (number(c), ps) for k, c in enumerate(columns)}))  # a row each
+    one = df.agg(*measures).crossJoin(quantiles(df, {f"q{k}": (F.col(f"v{k}"), ps) for k in range(len(columns))}))  # a row each
     return one.select(F.array(*parts).alias("rows")).select(F.inline("rows"))
 
 
@@ -55,7 +57,7 @@ def percent(p: float) -> str:
 
 def describe5(df: DataFrame, column: str) -> DataFrame:
     """mean, median, min, max and std (ddof 0) of what is a number."""
-    v = number(column)
+    df, v = checkpoint(df.select(number(column).alias("v"))), F.col("v")
     one = df.agg(F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"))
     one = one.crossJoin(quantiles(df, {"q": (v, [0.5])})).withColumn("median", F.col("q")[0])  # a row each
     return one.select(*(F.coalesce(n, F.lit(0.0)).alias(n) for n in ("mean", "median", "min", "max", "std")))

@@ -69,3 +69,34 @@ def _ranked(values: DataFrame, qs: list[float]) -> DataFrame:
         return a + (b - a) * F.lit(p - low) if high > low else a
 
     return by_rank.select(F.array(*(value(p) for p in places)).alias("q"))
+
+
+def group_quantiles(df: DataFrame, group: str, value: str, qs: list[float], most: int = MOST_DISTINCT) -> DataFrame:
+    """(group, q): the array of exact interpolated quantiles of each group's values; no row for the null group, nulls for a group without values.
+
+    Where no group has more than ``most`` distinct values, Spark's exact percentile
+    keeps their counts in one task. Else the counts of (group, value) are dealt by
+    range over all groups at once and ranked by one running total, less what stands
+    before the group, so that a group of any size is dealt over many tasks; only the
+    rows that hold a wanted rank leave them. ``df`` is read twice: checkpoint it first
+    where that is dear.
+    """
+    rows = df.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
+    largest = rows.groupBy("g").agg(F.approx_count_distinct("v").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= most:
+        return rows.groupBy(F.col("g").alias(group)).agg(F.percentile("v", F.array(*(F.lit(float(q)) for q in qs))).alias("q"))
+    counts = checkpoint(rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")))
+    held = checkpoint(running_total(counts.where("v IS NOT NULL"), [F.col("g"), F.col("v")], {"before": "n"}))
+    groups = held.groupBy("g").agg(F.min("before").alias("start"), F.sum("n").alias("total"))
+    placed = held.join(groups, "g").withColumn("before", F.col("before") - F.col("start"))
+    place = [F.lit(float(q)) * (F.col("total") - 1) for q in qs]
+    ranks = F.array_distinct(F.array(*(f(p).cast("long") for p in place for f in (F.floor, F.ceil))))
+    at = F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
+    by_rank = placed.select("g", "total", "v", F.explode(at).alias("r")).groupBy("g").agg(F.first("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("r", "v"))).alias("m"))  # two rows a quantile
+
+    def value_at(p: Column) -> Column:
+        low, high = (F.col("m")[f(p).cast("long")] for f in (F.floor, F.ceil))
+        return low + (high - low) * (p - F.floor(p))
+
+    told = by_rank.select("g", F.array(*(value_at(p) for p in place)).alias("q"))
+    return counts.select("g").distinct().join(told, "g", "left").select(F.col("g").alias(group), "q")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions.numeric import VALIDATION_WEIGHTS, number, validation_label, validation_score
 from plinth.operators.ranking import quantiles
+from plinth.storage import checkpoint
 
 #: Where a filled height comes from.
 OBSERVED, PREDICTED = "observed", "catboost"
@@ -56,7 +57,7 @@ def spatial_gap(df: DataFrame) -> DataFrame:
     rows = df.where("target_height_was_predicted = 0 AND n_neighbors_100m > 0 AND neighbor_height_mean_100m IS NOT NULL")
     gap = F.abs(number("target_height_filled") - number("neighbor_height_mean_100m"))
     qs = (0.5, 0.75, 0.9, 0.95, 0.99)
-    rows = rows.select(gap.alias("gap"))
+    rows = checkpoint(rows.select(gap.alias("gap")))  # the neighbours' join behind it is computed once
     out = rows.agg(F.count("gap").alias("n"), F.avg("gap").alias("mean"), F.count_if(F.col("gap") > 20).alias("above_20")).crossJoin(quantiles(rows, {"q": (F.col("gap"), list(qs))}))  # a row each
     return out.select("n", "mean", *(F.col("q")[k].alias(f"p{round(q * 100)}") for k, q in enumerate(qs)), "above_20")
 
