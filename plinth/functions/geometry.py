@@ -64,6 +64,13 @@ def geom_type(g: str) -> Column:
     return F.when(F.col(g).isNotNull(), F.when(F.size(g) > 1, "MultiPolygon").otherwise("Polygon"))
 
 
+def z_order(x: str, y: str, size: float) -> Column:
+    """Place of a point's grid cell along the Z-order curve: the bits of its column and row in turn."""
+    cell = {n: f"((CAST(floor({c} / {size}D) AS BIGINT) + 1073741824L) & 2147483647L)" for n, c in (("i", x), ("j", y))}
+    bits = " | ".join(f"shiftleft(shiftright({cell[n]}, k) & 1L, 2 * k + {at})" for at, n in enumerate("ij"))
+    return F.expr(f"aggregate(sequence(0, 30), 0L, (s, k) -> s | {bits})")
+
+
 def compactness(area_: str, perimeter_: str) -> Column:
     """4 pi A / P^2; null without a perimeter."""
     return F.when(F.col(perimeter_) > 0, 4 * F.pi() * F.col(area_) / F.pow(F.col(perimeter_), F.lit(2.0)))

@@ -16,6 +16,8 @@ from plinth.storage import checkpoint, row_count
 
 BUFFER_M = 0.5
 CELL_M = 64.0
+#: Polygons that are dissolved together at first, and unions that are afterwards.
+FIRST_UNION, NEXT_UNION = 256, 16
 IOU, OVERLAP, DISTANCE_M, REL_INTERSECTION = 0.15, 0.60, 1.0, 0.05
 
 
@@ -211,13 +213,34 @@ def union_areas(members: DataFrame, polygons: DataFrame) -> DataFrame:
     )
 
 
-def representatives(members: DataFrame, polygons: DataFrame, sources: DataFrame) -> DataFrame:
-    """component_id, rep_geometry (WKB), cx and cy: the union of the members on the side that ``sources`` (component_id, geometry_source) names.
+def dissolved(polygons: DataFrame, key: str = "component_id", first: int = FIRST_UNION, onward: int = NEXT_UNION) -> DataFrame:
+    """(key, rep_geometry): the union of each key's distinct polygons (columns wkb and BOX).
 
-    A component's geometry is one value and so is made in one task; equal polygons enter once.
+    Polygons are put in Z-order within their key by one running total, and
+    neighbours are dissolved ``first`` at a time, then what comes of them
+    ``onward`` at a time, until one is left: no group has more of them than that,
+    and inner walls are gone before the larger unions are made.
     """
-    rows = members.select("component_id", "src", "uid").join(sources, "component_id").where("src = geometry_source").join(polygons.select("uid", "wkb"), "uid")
-    merged = checkpoint(rows.groupBy("component_id").agg(F.collect_set("wkb").alias("parts")).select("component_id", kernels.st_union(F.col("parts")).alias("rep_geometry")))
+    rows = checkpoint(polygons.groupBy(key, "wkb").agg(*(F.first(c).alias(c) for c in BOX)).withColumn("__z", geo.z_order("minx", "miny", CELL_M / 8)))
+    largest = rows.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if largest <= first:
+        return rows.groupBy(key).agg(F.collect_list("wkb").alias("parts")).select(key, kernels.st_union(F.col("parts")).alias("rep_geometry"))
+    placed = running_total(rows, [F.col(key), F.col("__z")], {"__at": F.lit(1)})
+    starts = placed.groupBy(key).agg(F.min("__at").alias("__start"))
+    held = placed.join(starts, key).select(key, F.floor((F.col("__at") - F.col("__start")) / first).alias("__group"), "wkb")
+    groups = -(-largest // first)
+    while True:
+        held = held.groupBy(key, "__group").agg(F.collect_list("wkb").alias("parts")).select(key, "__group", kernels.st_union(F.col("parts")).alias("wkb"))
+        if groups <= 1:
+            return held.select(key, F.col("wkb").alias("rep_geometry"))
+        held = checkpoint(held).withColumn("__group", F.floor(F.col("__group") / onward))
+        groups = -(-groups // onward)
+
+
+def representatives(members: DataFrame, polygons: DataFrame, sources: DataFrame) -> DataFrame:
+    """component_id, rep_geometry (WKB), cx and cy: the union of the members on the side that ``sources`` (component_id, geometry_source) names."""
+    rows = members.select("component_id", "src", "uid").join(sources, "component_id").where("src = geometry_source").join(polygons.select("uid", "wkb", *BOX), "uid")
+    merged = checkpoint(dissolved(rows))
     out = merged.withColumn("__g", kernels.wkb_to_geometry(F.col("rep_geometry"))).withColumn("__c", geo.centroid("__g"))
     return out.select("component_id", "rep_geometry", F.col("__c.x").alias("cx"), F.col("__c.y").alias("cy"))
 

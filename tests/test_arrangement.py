@@ -171,3 +171,31 @@ def test_one_pass_over_a_column(spark):
     assert got[3]["repaired"] and got[3]["area"] == pytest.approx(2 * got[1]["area"], rel=1e-6) and got[2]["wkb"] is None
     plan = df.withColumn("p", ragged.read_polygons(df["wkt"], True)).select("*", "p.*")._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert plan.count("EvalPython") == 1
+
+
+def test_dissolving_step_by_step_equals_one_union(spark):
+    from pyspark.sql import functions as F
+
+    from plinth.operators import matching
+
+    rng = np.random.default_rng(9)
+    rows, plain = [], {}
+    for key, n in (("block", 300), ("loose", 150), ("one", 1), ("copies", 5)):
+        side = int(np.ceil(np.sqrt(n)))
+        for k in range(n):
+            at = (0, 0) if key == "copies" else (k // side * (2.0 if key == "loose" and k % 3 else 1.0), k % side)
+            g = [[turned(box(*at, 1, 1) if key != "block" else box(*at, 1, 1 + rng.uniform(0, 0.5)), 0.4, PLACES[1])]]
+            r = g[0][0]
+            rows.append((key, K.to_wkb(g), *r.min(axis=0).tolist(), *r.max(axis=0).tolist()))
+            plain.setdefault(key, []).append(g)
+    df = spark.createDataFrame(rows, "component_id string, wkb binary, minx double, miny double, maxx double, maxy double").repartition(4)
+    for first, onward in ((256, 16), (16, 3), (2, 2)):
+        got = {r["component_id"]: K.from_wkb(r["rep_geometry"]) for r in matching.dissolved(df, first=first, onward=onward).collect()}
+        assert set(got) == set(plain)
+        for key, g in got.items():
+            want = K.union(plain[key]) if key != "copies" else plain[key][0]
+            assert K.is_valid(g) and len(g) == len(want) and K.area(g) == pytest.approx(K.area(want), rel=1e-6)
+            assert K.intersection_area(g, want) == pytest.approx(K.area(want), rel=1e-6)
+    assert matching.dissolved(df.limit(0)).count() == 0
+    z = spark.createDataFrame([(float(x), float(y)) for x in range(-2, 3) for y in range(-2, 3)], "x double, y double").withColumn("z", __import__("plinth.functions.geometry", fromlist=["z"]).z_order("x", "y", 1.0))
+    assert z.select(F.countDistinct("z")).first()[0] == 25 and [tuple(r)[:2] for r in z.where("x >= 0 AND y >= 0 AND x < 2 AND y < 2").orderBy("z").collect()] == [(0, 0), (1, 0), (0, 1), (1, 1)]
