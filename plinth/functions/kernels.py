@@ -1,4 +1,4 @@
-"""Polygon kernels in NumPy, and the vectorised UDFs over WKB that call them.
+"""Polygon kernels in NumPy, and UDFs over batches of WKB that call them row by row.
 
 A geometry is a list of polygons, a polygon a list of rings (shell first), a ring
 an n x 2 array that ends where it starts. Areas of intersections and unions come
@@ -436,7 +436,7 @@ def clip(g: Geometry, minx: float, miny: float, maxx: float, maxy: float) -> Geo
 
 
 def _udf(kind: str, f, *, nulls=None):
-    """A vectorised UDF over WKB columns; ``nulls`` where a geometry is missing."""
+    """A UDF over batches of WKB columns, a row at a time; ``nulls`` where a geometry is missing."""
 
     def one(*values):
         found = [from_wkb(v) for v in values]
