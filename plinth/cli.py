@@ -85,7 +85,7 @@ def parser() -> argparse.ArgumentParser:
             step.add_argument("--title", default=title)
             step.add_argument("--logo", default="")
     steps.choices["run"].add_argument("--gpkg", default="", help="a local GeoPackage to write the buildings to as well")
-    steps.choices["run"].add_argument("--model", default="boosted_categories", choices=["linear", "forest", "gbt", "boosted_categories"])
+    steps.choices["run"].add_argument("--model", default="ordered_categories", choices=["linear", "forest", "gbt", "boosted_categories", "histogram", "ordered_categories"])
     return out
 
 

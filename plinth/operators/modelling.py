@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import itertools
 
 from pyspark.ml import Pipeline
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plinth.functions.numeric import grid_key
+from plinth.operators import boosting
 from plinth.operators.ranking import quantiles, running_total
 from plinth.storage import checkpoint
 
@@ -64,19 +66,25 @@ MODEL_SETS = {
     "forest": _TREES,
     "gbt": _TREES,
     "boosted_categories": {k: FEATURE_SETS[k] for k in ("baseline", "full")},
+    "histogram": _TREES,
+    "ordered_categories": {k: FEATURE_SETS[k] for k in ("baseline", "full")},
 }
-#: Settings compared, as far as pyspark.ml has them: a depth without limit is 30, a least split of 10 a leaf of 10 or 20, and there is no L2 term.
+#: Settings compared; of forest, gbt and boosted_categories as far as pyspark.ml has them: a depth without limit is 30, a least split of 10 a leaf of 10 or 20, and there is no L2 term.
 GRIDS = {
     "linear": [{}],
     "forest": {"numTrees": [300], "maxDepth": [30, 15], "minInstancesPerNode": [1, 5, 10, 20]},
     "gbt": {"stepSize": [0.03, 0.05], "maxIter": [300], "maxDepth": [8, 10], "minInstancesPerNode": [20, 50]},
     "boosted_categories": [{"maxIter": 300, "stepSize": 0.05, "maxDepth": 6, "minInstancesPerNode": 10}, {"maxIter": 300, "stepSize": 0.05, "maxDepth": 8, "minInstancesPerNode": 30}],
+    "histogram": {"stepSize": [0.03, 0.05], "maxIter": [300], "maxDepth": [None, 8], "minInstancesPerNode": [20, 50], "l2": [0.0, 1.0]},
+    "ordered_categories": [{"maxIter": 300, "stepSize": 0.05, "maxDepth": 6, "l2": 3.0}, {"maxIter": 300, "stepSize": 0.05, "maxDepth": 8, "l2": 5.0}],
 }
 #: The settings of final fits.
 BEST = {
     "forest": {"numTrees": 300, "maxDepth": 15, "minInstancesPerNode": 5},
     "gbt": {"stepSize": 0.05, "maxIter": 300, "maxDepth": 8, "minInstancesPerNode": 20},
     "boosted_categories": {"maxIter": 300, "stepSize": 0.05, "maxDepth": 6, "minInstancesPerNode": 10},
+    "histogram": {"stepSize": 0.05, "maxIter": 300, "maxDepth": 8, "minInstancesPerNode": 20, "l2": 0.0},
+    "ordered_categories": {"maxIter": 300, "stepSize": 0.05, "maxDepth": 6, "l2": 3.0},
 }
 
 
@@ -194,7 +202,7 @@ def estimator(kind: str, features: list[str], text: list[str], params: dict | No
     """A pipeline over ``features``; kinds: linear, forest, gbt, boosted_categories.
 
     Linear and forest models take categories one-hot, boosted trees as indexes.
-    Boosted trees stand in for boosters that pyspark.ml doesn't have.
+    These boosted trees are pyspark.ml's; the kinds histogram and ordered_categories are ``boosting``'s.
     """
     params = params or {}
     numbers = [f for f in features if f not in text]
@@ -239,9 +247,32 @@ def prepared(train: DataFrame, other: DataFrame, kind: str, features: list[str])
     return frames[0], frames[1], text
 
 
+_NAMES = {"maxIter": "rounds", "stepSize": "rate", "maxDepth": "depth", "minInstancesPerNode": "least", "l2": "l2"}
+#: Settings, how text is encoded, and whether missing numbers become medians: histogram grows trees best node first up to
+#: 31 leaves over sorted levels' codes, ordered_categories symmetric trees over ordered target statistics.
+_BOOSTERS = {
+    "histogram": (boosting.Settings(depth=None, leaves=31, least=20), "codes", True),
+    "ordered_categories": (boosting.Settings(l2=3.0, symmetric=True), "statistics", False),
+}
+
+
+def _boosted(df: DataFrame, kind: str, features: list[str], params: dict | None, models: int, key: str) -> tuple[DataFrame, list[list[boosting.Tree]], list[str]]:
+    """Predictions of each fold's rows, every model's trees, and the features in their order. Beside ordered categories missing neighbour heights are 0."""
+    given, encode, fill = _BOOSTERS[kind]
+    settings = dataclasses.replace(given, **{_NAMES[k]: v for k, v in (params or {}).items()})
+    text = categorical(df, features)
+    numbers = [f for f in features if f not in text]
+    near = [c for c in numbers if c.startswith("neighbor_height_")]
+    rows = df if fill or not near else df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in near})
+    predicted, trees = boosting.boost(rows, numbers, text, TARGET, models, settings, key, encode, fill)
+    return predicted, trees, [*numbers, *text]
+
+
 def cross_validate(df: DataFrame, kind: str, features: list[str], params: dict | None = None, folds: int = FOLDS, key: str = "component_id", group: str = "spatial_group") -> DataFrame:
     """Out-of-fold predictions: key, fold, target, prediction. No group is in its own training rows."""
     dealt = checkpoint(df.join(group_folds(df, group, folds), group))
+    if kind in _BOOSTERS:  # all folds in the same jobs
+        return _boosted(dealt, kind, features, params, folds, key)[0].where(F.col(TARGET).isNotNull())
     out = None
     for k in range(folds):
         train, test, text = prepared(dealt.where(F.col("fold") != k), dealt.where(F.col("fold") == k), kind, features)
@@ -305,6 +336,12 @@ def top_features(importance: DataFrame, n: int = 20) -> DataFrame:
 def fit_and_predict(df: DataFrame, kind: str, features: list[str], params: dict | None = None, key: str = "component_id") -> tuple[DataFrame, DataFrame]:
     """(predictions for unobserved rows, feature importances, largest first) of a model fitted on all observed rows."""
     train, rest = split_observed(df)
+    if kind in _BOOSTERS:
+        rows = train.withColumn("fold", F.lit(-1)).unionByName(rest.withColumns({"fold": F.lit(0), TARGET: F.lit(None).cast("double")}))
+        predicted, trees, names = _boosted(rows, kind, features, params, 1, key)
+        shares = [(n, float(w)) for n, w in boosting.importances(trees[0], names).items()]
+        told = df.sparkSession.createDataFrame(shares, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+        return predicted.select(key, F.col("prediction").alias("target_height_predicted")), told
     train, rest, text = prepared(train, rest, kind, features)
     model = estimator(kind, features, text, params).fit(train)
     predicted = model.transform(rest).select(key, F.col("prediction").alias("target_height_predicted"))

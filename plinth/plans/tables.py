@@ -479,7 +479,7 @@ QUERIES = {
     "model_linear_sets": (linear_sets, LINEAR_SETS),
     "model_linear": (_model("linear", {}), None),
     "model_forest": (_model("forest", modelling.BEST["forest"]), None),
-    "model_gbt": (_model("boosted_categories", {"maxIter": 10, "maxDepth": 5}), None),
+    "model_gbt": (_model("ordered_categories", modelling.BEST["ordered_categories"]), None),
     "model_fill_provenance": (fill_provenance, FILL_PROVENANCE),
     "valid_integrity": (integrity, INTEGRITY),
     "valid_ranges": (ranges, RANGES),
