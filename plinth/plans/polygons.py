@@ -16,7 +16,8 @@ from plinth.functions.numeric import VALIDATION_LABELS, VALIDATION_WORST
 from plinth.operators import cleaning, matching, modelling, reporting, validation
 from plinth.plans import footprints as fp
 from plinth.plans.fixtures import IRRELEVANT, footprints_a, footprints_b, oracle
-from plinth.storage import checkpoint
+from plinth.sources import geoparquet
+from plinth.storage import checkpoint, staging_path
 
 #: Added to the ids of copied rows.
 COPY = 10_000_000
@@ -409,7 +410,24 @@ PARTY_WALLS = oracle(
     "FROM (SELECT id, w, h, 3.0::DOUBLE + id % 5 AS d FROM fa)"
 )
 
+def box_filter(spark, sf_dir: str) -> DataFrame:
+    """Polygons written as GeoParquet along the Hilbert curve, and those whose box meets another read back."""
+    rows = notched(footprints_a(spark, sf_dir))
+    text = F.when(F.col("id") % 53 != 0, F.concat(F.lit("POLYGON "), "ring", F.lit(")")))
+    path = staging_path(spark, "box-filter")
+    geoparquet.write_geoparquet(rows.select("id", kernels.wkt_to_wkb(text).alias("wkb")), path)
+    met = geoparquet.read_box(spark, path, _ASKED)
+    return met.select("id", *(F.round(f"bbox.{k}", 6).alias(k) for k in ("xmin", "ymin", "xmax", "ymax")), F.octet_length("geometry").cast("long").alias("n_bytes"))
+
+
+_ASKED = (700.0, 900.0, 1700.0, 2100.0)
+BOX_FILTER = oracle(
+    "SELECT id, round(minx, 6) AS xmin, round(miny, 6) AS ymin, round(maxx, 6) AS xmax, round(maxy, 6) AS ymax, CAST(CASE WHEN id % 3 <> 0 THEN 125 ELSE 93 END AS BIGINT) AS n_bytes "
+    "FROM fa WHERE id % 53 <> 0 AND minx <= {2} AND maxx >= {0} AND miny <= {3} AND maxy >= {1}".format(*_ASKED)
+)
+
 QUERIES = {
+    "source_box_filter": (box_filter, BOX_FILTER),
     "geo_party_walls": (party_walls, PARTY_WALLS),
     "flagship_match_types": (match_types, MATCH_TYPES),
     "clean_geometry_audit": (geometry_audit, GEOMETRY_AUDIT),
