@@ -13,7 +13,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from plinth.operators import cleaning, contexts, maplayers, matching, modelling, reporting, validation
-from plinth.sources import readers, writers
+from plinth.sources import geoparquet, readers, writers
 from plinth.storage import checkpoint
 
 # Fixed value: the purpose that is no building.
@@ -56,6 +56,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     writers.write_parquet(validation.fill_heights(table, predicted), f"{args.out}/buildings")
     if args.gpkg:
         writers.write_geopackage(spark.read.parquet(f"{args.out}/buildings"), args.gpkg, "buildings", "rep_geometry")
+    if args.geoparquet:
+        geoparquet.write_geoparquet(spark.read.parquet(f"{args.out}/buildings"), args.geoparquet, "rep_geometry", geometry="rep_geometry")
     for name, df in (("candidate_pairs", pairs), ("edges", edges), ("importance", importance)):
         writers.write_csv(df, f"{args.out}/{name}")
 
@@ -85,6 +87,7 @@ def parser() -> argparse.ArgumentParser:
             step.add_argument("--title", default=title)
             step.add_argument("--logo", default="")
     steps.choices["run"].add_argument("--gpkg", default="", help="a local GeoPackage to write the buildings to as well")
+    steps.choices["run"].add_argument("--geoparquet")
     steps.choices["run"].add_argument("--model", default="ordered_categories", choices=["linear", "forest", "gbt", "boosted_categories", "histogram", "ordered_categories"])
     return out
 

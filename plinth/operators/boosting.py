@@ -375,7 +375,8 @@ def boost(df: DataFrame, numbers: list[str], text: list[str], target: str, model
             blocks.unpersist()
             release(table)
             table, pending = after, [[] for _ in range(models)]
-            blocks = _blocks(table, models, width)
+            if made < s.rounds:
+                blocks = _blocks(table, models, width)
 
     return _predictions(table, base, models, width, key, target), trees
 
