@@ -17,7 +17,7 @@ from plinth.operators import cleaning, matching, modelling, reporting, validatio
 from plinth.plans import footprints as fp
 from plinth.plans.fixtures import IRRELEVANT, footprints_a, footprints_b, oracle
 from plinth.sources import geoparquet
-from plinth.storage import checkpoint, staging_path
+from plinth.storage import checkpoint, row_count, staging_path
 
 #: Added to the ids of copied rows.
 COPY = 10_000_000
@@ -205,9 +205,12 @@ POLYGON_METRICS = oracle("SELECT uid_a, uid_b, area_a, area_b, perimeter_a, peri
 def graph(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(A, B, edges, members) of the cleaned polygons."""
     a, b = cleaned(spark, sf_dir)
-    found = matching.polygon_pairs(a, b)
-    edges = checkpoint(matching.pair_metrics(found, F.col("inter"), F.col("dist")).where(matching.edge_rule()))
-    return a, b, edges, checkpoint(matching.components(matching.vertices(a, b), edges))
+    # Cleaning leaves each polygon once, so every row is a kind.
+    a, b = (rows.withColumn("node", F.col("ordinal") + first) for rows, first in ((a, 0), (b, row_count(a))))
+    own = [rows.withColumn("n", F.lit(1).cast("long")) for rows in (a, b)]
+    edges = matching.linked(*own, shapes=True)
+    nodes = a.select("uid", "src", "node", F.col("node").alias("rep")).unionByName(b.select("uid", "src", "node", F.col("node").alias("rep")))
+    return a, b, edges, checkpoint(matching.components(nodes, edges))
 
 
 def match_types(spark, sf_dir: str) -> DataFrame:
