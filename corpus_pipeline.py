@@ -6,9 +6,10 @@ rules drop documents, line dedup cuts lines, near-dedup keeps one document of
 each group, mixing drops and repeats documents to meet the sources' targets. The
 last returns doc_id, n_tokens and ids.
 
-Near-dedup takes MinHash bands over five-word shingles and checks them exactly:
-two SimHash fingerprints of texts at similarity 0.8 differ in too many bits for a
-covering code (see ``plinth.llm.near_copies``).
+Near-dedup links SimHash fingerprints of five-word shingles by op2's covering code
+and checks the pairs exactly. Texts at similarity 0.8 can differ in more bits than
+that code reaches, so MinHash bands bring further pairs to the same check (see
+``plinth.llm.near_copies``).
 
 Defined cases: what a row with a null doc_id, text, lang or source, an empty or
 very long text, a tie or a repeated row comes to is each stage's own, as its module

@@ -7,8 +7,10 @@ whole numbers) are linked, and linked documents form components.
 Candidates share a band of ROWS of the BANDS * ROWS minima that a text's
 shingles have under as many hash functions. A pair at just the threshold is
 missed with probability (1 - 0.8^6)^40 = 5e-6, more similar ones less. Every link is
-checked on the sets themselves. Fingerprints can't stand in: near copies at this
-threshold differ in up to a dozen bits of a SimHash.
+checked on the sets themselves. SimHash fingerprints of the sets bring candidates,
+too, where a caller gives the way to link them: a set is held against those of its
+own fingerprint and of the smallest and the largest one linked to it. Alone they
+wouldn't do: near copies at this threshold differ in up to a dozen bits.
 
 In a band's bucket everything is first held against the bucket's smallest and
 largest members. Members that these links put into one component need no further
@@ -88,6 +90,14 @@ def bands(held: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
+def fingerprint(held: np.ndarray) -> int:
+    """The SimHash of a set of shingles: each bit that over half of them have; 0 for the empty set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(held), _CHUNK):
+        ones += np.unpackbits(held[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(held), bitorder="little").view(np.uint64)[0])
+
+
 def _sid(held: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(held.tobytes(), SEED)
 
@@ -97,7 +107,9 @@ def _sketches(batches):
         sets = [shingles(x.as_py()) for x in b.column("text")]
         sid = np.fromiter(map(_sid, sets), np.uint64, len(sets)).view(np.int64)
         n = pa.array([len(s) for s in sets], pa.int32())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(sid), n, pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "th", "sid", "n", "bands"])
+        fp = np.fromiter(map(fingerprint, sets), np.uint64, len(sets)).view(np.int64)
+        columns = [b.column("doc_id"), b.column("th"), pa.array(sid), n, pa.array(fp), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "sid", "n", "fp", "bands"])
 
 
 def _sets(batches):
@@ -213,15 +225,29 @@ def _crowded(part: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
-def links(own: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (src, dst) that join all similar sets into their components; ``own`` holds each set's sid, n, bands and th once."""
+def _by_fingerprint(own: DataFrame, by) -> DataFrame:
+    """Candidates (src, dst) from fingerprints: two a set at most, the pairs that ``by`` links being the sets of smallest sid of each."""
+    fps = checkpoint(own.where("n > 0").groupBy("fp").agg(F.min("sid").alias("low")))
+    near = by(fps)
+    near = near.unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src").agg(F.min("dst").alias("a"), F.max("dst").alias("b"))
+    ends = near.select(F.col("src").alias("fp"), F.explode(F.array("a", "b")).alias("other")).join(fps, "fp")
+    ends = ends.join(fps.select(F.col("fp").alias("other"), F.col("low").alias("sid")), "other").select("low", "sid")
+    same = own.select("sid", "fp").join(fps, "fp").where("sid <> low").select("low", "sid")
+    return same.unionByName(ends).select(F.least("low", "sid").alias("src"), F.greatest("low", "sid").alias("dst"))
+
+
+def links(own: DataFrame, texts: DataFrame, by=None) -> DataFrame:
+    """Links (src, dst) that join all similar sets into their components; ``own`` holds each set's sid, n, fp, bands and th once.
+
+    ``by`` links fingerprints (a frame with column fp, once each), whose sets are candidates beside those of bands.
+    """
     low, high = SIMILAR
     rows = own.select("sid", "n", F.explode("bands").alias("bucket"))
     ends = rows.groupBy("bucket").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
     crowd = checkpoint(rows.join(ends, "bucket"))
     first = compact(crowd).select("sid", F.explode(F.array("low", "high")).alias("end")).where("sid <> end")
-    first = first.select(F.least("sid", "end").alias("src"), F.greatest("sid", "end").alias("dst")).distinct()
-    first = checkpoint(first)
+    first = first.select(F.least("sid", "end").alias("src"), F.greatest("sid", "end").alias("dst"))
+    first = checkpoint((first.unionByName(_by_fingerprint(own, by)) if by else first).distinct())
     found = compact(_similar(first, own, texts))
     known = connected_components(found).withColumnRenamed("vertex", "sid")
     all_ = checkpoint(compact(crowd).join(known, "sid", "left").select("bucket", "low", "size", "sid", "n", F.coalesce("component", "sid").alias("part")))
@@ -242,14 +268,14 @@ def links(own: DataFrame, texts: DataFrame) -> DataFrame:
     return found
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), component and component_id (smallest doc_id reachable) of every row."""
+def components(docs: DataFrame, by=None) -> DataFrame:
+    """doc_id, th (hash of the text), component and component_id (smallest doc_id reachable) of every row; ``by`` as for ``links``."""
     texts = docs.select("text", F.expr("xxhash64(text) AS th"))
     rows = docs.select("doc_id", "text", F.expr("xxhash64(text) AS th"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = checkpoint(rows.mapInArrow(_sketches, f"doc_id {kind}, th long, sid long, n int, bands array<bigint>"))
-    own = checkpoint(found.groupBy("sid", "n", "bands").agg(F.min("doc_id").alias("least"), F.min("th").alias("th")))
-    linked = connected_components(links(own, texts)).withColumnRenamed("vertex", "sid")
+    found = checkpoint(rows.mapInArrow(_sketches, f"doc_id {kind}, th long, sid long, n int, fp long, bands array<bigint>"))
+    own = checkpoint(found.groupBy("sid", "n", "fp", "bands").agg(F.min("doc_id").alias("least"), F.min("th").alias("th")))
+    linked = connected_components(links(own, texts, by)).withColumnRenamed("vertex", "sid")
     names = own.select("sid", "least").join(linked, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     named = names.groupBy("component").agg(F.min("least").alias("component_id"))
     # Staged, so that the join is plain and may be split where one set has many documents.

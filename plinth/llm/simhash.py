@@ -184,11 +184,13 @@ def components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component of near copies (the smallest doc_id), with the columns it came with.
 
-    The stage takes near_copies' five-word shingles at Jaccard 0.8; SHINGLE and THRESHOLD above are op2's alone.
+    The stage takes near_copies' five-word shingles at Jaccard 0.8, SHINGLE above is op2's alone. SimHash fingerprints of
+    those shingles are linked by the covering code, as op2's are, and checked exactly; MinHash bands find the similar
+    texts whose fingerprints lie further apart.
     Rows without a doc_id stay. Rows are told apart by doc_id and text: of each component one row stays, that of the
     smallest doc_id and, where this doc_id stands on several of its texts, of the smallest hash.
     """
-    found = near_copies.components(docs).where("doc_id IS NOT NULL").groupBy("component", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    found = near_copies.components(docs, links).where("doc_id IS NOT NULL").groupBy("component", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
     found = checkpoint(found)
     named = checkpoint(found.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("named")))
     one = F.struct("doc_id", "th") == F.col("named")
