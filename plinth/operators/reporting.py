@@ -5,14 +5,17 @@ from __future__ import annotations
 import html
 from string import Template
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions import geometry as geo
-from plinth.functions import kernels
+from plinth.functions import kernels, pairs
 from plinth.functions.numeric import format_int, format_percent, quality_label, quality_score, try_ratio
 from plinth.operators import profiling as p
-from plinth.operators.spatial_join import BOX, box_join
+from plinth.operators.spatial_join import BOX, box_groups
 from plinth.storage import checkpoint
 
 # Sample sizes, percentiles and column lists of the book.
@@ -40,24 +43,57 @@ def measured(df: DataFrame, wkt: str) -> DataFrame:
     }).drop("c", "box")
 
 
-def _overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of measured rows whose shapes meet; boxes first, the kernel after."""
-    cols = ["id", "wkb_m", "geom_area_m2", *BOX]
-    return box_join(left.select(*cols), right.select(*cols), CELL_M).where(kernels.st_intersects(F.col("l.wkb_m"), F.col("r.wkb_m")))
+_SHAPE = ["id", "wkb_m", "geom_area_m2", *BOX]
 
 
 def neighbor_counts(sample: DataFrame, full: DataFrame) -> DataFrame:
-    """Add neighbors_cnt: other shapes that a row's shape meets; null without a shape."""
-    counts = _overlaps(sample, full).groupBy(F.col("l.id").alias("__id")).agg((F.count(F.lit(1)) - 1).alias("__n"))
+    """Add neighbors_cnt: other shapes that a row's shape meets; null without a shape. Met shapes are counted in the tasks that find them."""
+
+    def found(left: pa.Table, right: pa.Table):
+        a, b = (pairs.Side(t["wkb_m"].to_pylist()) for t in (left, right))
+        count = np.zeros(left.num_rows, np.int64)
+
+        def take(ij):
+            if ij is None:
+                some = np.flatnonzero(count)
+                return pa.Table.from_arrays([left["id"].combine_chunks().take(pa.array(some)), pa.array(count[some])], ["__id", "__n"])
+            count[:] += np.bincount(ij[0][pairs.measures(a, b, *ij)[0] == 0], minlength=len(count))
+            return None
+
+        return take
+
+    kind = sample.schema["id"].dataType.simpleString()
+    counts = box_groups(sample.select(*_SHAPE), full.select(*_SHAPE), CELL_M, found, f"__id {kind}, __n long").groupBy("__id").agg((F.sum("__n") - 1).alias("__n"))
     out = sample.join(counts, F.col("id") == F.col("__id"), "left")
     return out.withColumn("neighbors_cnt", F.when(F.col("wkb").isNotNull() & (F.size("g4326") > 0), F.coalesce("__n", F.lit(0)))).drop("__id", "__n")
 
 
 def near_duplicates(df: DataFrame, overlap: float = NEAR_OVERLAP) -> DataFrame:
     """Unordered pairs whose shapes each overlap the other by more than ``overlap``."""
-    met = _overlaps(df.where("geom_area_m2 > 0"), df.where("geom_area_m2 > 0")).where("l.id < r.id")
-    shared = kernels.st_intersection_area(F.col("l.wkb_m"), F.col("r.wkb_m"))
-    out = met.select(F.col("l.id").alias("id_i"), F.col("r.id").alias("id_j"), shared.alias("inter_area"), F.col("l.geom_area_m2").alias("wi"), F.col("r.geom_area_m2").alias("wj"))
+
+    def found(left: pa.Table, right: pa.Table):
+        a, b = (pairs.Side(t["wkb_m"].to_pylist()) for t in (left, right))
+        (ids, areas), (rids, rareas) = ((t["id"].combine_chunks(), t["geom_area_m2"].to_numpy()) for t in (left, right))
+
+        def take(ij):
+            if ij is None:
+                return None
+            i, j = ij
+            first = pc.less(ids.take(pa.array(i)), rids.take(pa.array(j))).to_numpy(zero_copy_only=False)
+            i, j = i[first], j[first]
+            dist, inter = pairs.measures(a, b, i, j)
+            ratio = np.minimum(inter / areas[i], inter / rareas[j])
+            for k in np.flatnonzero((dist == 0) & (np.abs(ratio - overlap) < 1e-9)).tolist():  # rounding decides: as the row-wise kernel does
+                inter[k] = kernels.intersection_area(a.shapes[i[k]], b.shapes[j[k]])
+            near = (dist == 0) & (ratio > overlap - 1e-9)
+            i, j = pa.array(i[near]), pa.array(j[near])
+            columns = [ids.take(i), rids.take(j), pa.array(inter[near]), pa.array(areas).take(i), pa.array(rareas).take(j)]
+            return pa.Table.from_arrays(columns, ["id_i", "id_j", "inter_area", "wi", "wj"])
+
+        return take
+
+    rows, kind = df.where("geom_area_m2 > 0").select(*_SHAPE), df.schema["id"].dataType.simpleString()
+    out = box_groups(rows, rows, CELL_M, found, f"id_i {kind}, id_j {kind}, inter_area double, wi double, wj double")
     out = out.select("id_i", "id_j", "inter_area", try_ratio("inter_area", "wi").alias("ratio_i"), try_ratio("inter_area", "wj").alias("ratio_j"))
     return out.where((F.col("ratio_i") > overlap) & (F.col("ratio_j") > overlap))
 
