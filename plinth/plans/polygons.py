@@ -146,7 +146,7 @@ def cleaned(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     out = []
     for source, raw, clean in (("A", footprints_a, cleaning.clean_a), ("B", footprints_b, cleaning.clean_b)):
         kept, _ = clean(raw_polygons(raw(spark, sf_dir)), IRRELEVANT, ["wkb"], wkt="wkt", degrees=False)
-        rows = matching.shapes(cleaning.relevant_only(kept), degrees=False)
+        rows = checkpoint(matching.shapes(cleaning.relevant_only(kept), degrees=False))  # numbering reads them twice
         out.append(checkpoint(matching.with_uids(rows, source, "row_idx")))
     return out[0], out[1]
 
