@@ -94,3 +94,13 @@ def test_measures_of_a_batch_are_those_of_the_expressions(spark):
 
 def test_a_small_file_is_dealt_over_the_cores(spark):
     assert footprints_a(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_crowded_groups_are_dealt_over_the_cores(spark):
+    rows = [(k, bytearray(K.to_wkb([[np.array(box(k, j, 2, 2), float)]])), float(k), float(j), k + 2.0, j + 2.0) for k in range(64) for j in range(2)]
+    df = spark.createDataFrame(rows, "component_id long, wkb binary, minx double, miny double, maxx double, maxy double").coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    for first in (256, 1):
+        merged = matching.dissolved(df, first=first)
+        assert merged.rdd.getNumPartitions() >= cores
+        assert [K.area(K.from_wkb(r["rep_geometry"])) for r in merged.collect()] == [6.0] * 64
