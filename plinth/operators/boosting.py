@@ -1,12 +1,13 @@
 """Gradient boosting of regression trees over histograms, all folds in the same jobs.
 
-A row's features are cut into bins once. A job then grows one level of one tree of every fold's model: tasks sum
-residuals and rows by (node, feature, bin) of their own rows, the sums meet by (model, feature), where each node's best
-cut is chosen, and only those cuts reach the driver. So a tree costs as many jobs as it has levels, whatever the number of
+A row's features are cut into bins once. Rows of the same bins always end in the same node, so a model is trained on kinds:
+the distinct bins of its training rows, with how many rows have them and the sum of their targets. A job then grows one level of one
+tree of every fold's model: tasks sum residuals and rows by (node, feature, bin) of their own kinds, the sums meet by (model, feature),
+where each node's best cut is chosen, and only those cuts reach the driver. A finished tree is added to the kinds' predictions once. So a tree costs as many jobs as it has levels, whatever the number of
 folds, and what is shuffled and collected is bounded by settings and not by rows.
 
-Sums are exact: residuals are rounded to a unit small enough for the target and large enough that no sum leaves 64 bits, and
-added as integers. Trees therefore don't depend on how rows are dealt, nor on tasks that are run again after a loss.
+Sums are exact: targets and predictions are rounded to a unit small enough for the target and large enough that no sum leaves 64 bits,
+and added as integers. Trees therefore don't depend on how rows are dealt, nor on tasks that are run again after a loss.
 
 Categories enter by ordered target statistics (``ordered_statistics``): a row is told the mean target of the rows of its
 category before it in a seeded order, never its own. A model k is trained on rows whose fold isn't k, and predicts the rows
@@ -28,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.operators.ranking import quantiles, running_total
-from plinth.storage import checkpoint, compact, release
+from plinth.storage import checkpoint, compact, release, spread
 
-#: Rows a batch whose rounded residuals are added as doubles without loss: 2^13 values of up to 2^39.
-_BATCH_ROWS = 1 << 13
-_MOST_BITS = 38
+#: Most bits of a rounded target, and the lower bits of a sum that are added apart from the others: as doubles both are added without loss.
+_MOST_BITS, _LOW_BITS = 38, 20
+#: Kinds a task of a level's job has, about.
+_TASK_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -47,7 +49,7 @@ class Settings:
     bins: int = 128
     leaves: int | None = None
     symmetric: bool = False
-    staged: int = 20  # trees after which rows' predictions are written
+    staged: int = 20  # trees after which kinds' predictions are written
 
 
 @dataclass
@@ -126,7 +128,7 @@ def ordered_codes(df: DataFrame, column: str, target: str, models: int, fold: st
 
 
 def _unit(df: DataFrame, target: str) -> float:
-    """A power of two: targets of ``df`` as whole numbers of it have sums within 64 bits, and within 53 over a batch."""
+    """A power of two: targets of ``df`` as whole numbers of it have sums within 64 bits."""
     seen = df.agg(F.max(F.abs(target)).alias("y"), F.count(target).alias("n")).first()
     bits = min(_MOST_BITS, 61 - int(seen["n"]).bit_length())
     return 2.0 ** (int(np.frexp(seen["y"] or 1.0)[1]) + 1 - bits)  # a residual is at most about twice the target
@@ -172,16 +174,21 @@ def _binned(df: DataFrame, numbers: list[str], text: list[str], target: str, kee
     return rows.mapInArrow(cut, schema)
 
 
-def _read(batch: pa.RecordBatch, models: int, width: int):
-    """(fold, y, bins by row, model and feature, predictions by row and model) of a batch, in parts of ``_BATCH_ROWS``."""
-    for start in range(0, batch.num_rows, _BATCH_ROWS):
-        part = batch.slice(start, _BATCH_ROWS)
-        n = part.num_rows
-        bins = np.frombuffer(b"".join(part.column("bins").to_pylist()), dtype=np.uint8).reshape(n, models, width)
-        said = np.frombuffer(b"".join(part.column("said").to_pylist()), dtype=np.float64).reshape(n, models)
-        fold = part.column("fold").to_numpy(zero_copy_only=False)
-        y = part.column("y").to_numpy(zero_copy_only=False).astype(float)
-        yield part, fold, y, bins, said
+def _kinds(table: DataFrame, models: int, width: int, unit: float) -> DataFrame:
+    """(k, b, n, s, said): each model's distinct training bins, how many rows have them, the sum of their targets in units, and what is predicted so far."""
+    of_model = F.array(*(F.when(F.col("fold") != k, F.substring("bins", k * width + 1, width)) for k in range(models)))
+    rows = table.where("y IS NOT NULL").select(F.round(F.col("y") / unit).cast("long").alias("y"), F.posexplode(of_model).alias("k", "b")).where("b IS NOT NULL")
+    return spread(rows, "k", "b").groupBy("k", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s")).withColumn("said", F.lit(0.0))
+
+
+def _parts(batch: pa.RecordBatch, width: int):
+    """(model, columns n, s and said by name, bins by kind and feature, where its kinds stand) of a batch, by model."""
+    k = batch.column("k").to_numpy(zero_copy_only=False)
+    bins = np.frombuffer(b"".join(batch.column("b").to_pylist()), dtype=np.uint8).reshape(len(k), width)
+    held = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "s", "said")}
+    for model in np.unique(k).tolist():
+        at = np.flatnonzero(k == model)
+        yield model, {c: v[at] for c, v in held.items()}, bins[at], at
 
 
 def _with_trees(said: np.ndarray, trees: list, bins: np.ndarray) -> np.ndarray:
@@ -204,22 +211,32 @@ def _gains(g: np.ndarray, n: np.ndarray, l2: float, least: int) -> tuple[np.ndar
     return np.where((left_n >= least) & (all_n - left_n >= least), gain, -np.inf), left_g, left_n
 
 
-def _blocks(table: DataFrame, models: int, width: int) -> RDD:
-    """The rows as pickled arrays of up to ``_BATCH_ROWS`` each: what a level's job reads again and again needs no planning and no conversion.
+def _blocks(kinds: DataFrame, width: int) -> RDD:
+    """The kinds as pickled arrays, a batch and model each: what a level's job reads again and again needs no planning and no conversion.
 
-    Kept in memory and on disk; what is lost is made again from the checkpointed table.
+    Kept in memory and on disk; what is lost is made again from the checkpointed kinds.
     """
 
     def pack(batches):
         for batch in batches:
-            for _, fold, y, bins, said in _read(batch, models, width):
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((fold, y, bins, said))], pa.binary())], ["block"])
+            blocks = [pickle.dumps((k, bins, held["n"], held["s"], held["said"])) for k, held, bins, _ in _parts(batch, width)]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], ["block"])
 
-    packed = table.select("fold", "y", "bins", "said").mapInArrow(pack, "block binary")
+    packed = kinds.sortWithinPartitions("k").mapInArrow(pack, "block binary")
     return packed.rdd.map(lambda r: bytes(r[0])).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _level(blocks: RDD, pending: list, growing: list, fronts: list[list[int]], base: list[float], unit: float, width: int, s: Settings) -> list[dict]:
+def _advanced(blocks: RDD, made: list) -> RDD:
+    """The blocks after one more tree of each model."""
+
+    def add(block):
+        k, bins, n, s, said = pickle.loads(block)
+        return pickle.dumps((k, bins, n, s, _with_trees(said, [made[k]], bins)))
+
+    return blocks.map(add).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _level(blocks: RDD, growing: list, fronts: list[list[int]], base: list[float], unit: float, width: int, s: Settings) -> list[dict]:
     """One job: for every model and feature, the best cut of each node of its front (symmetric trees: of all nodes alike)."""
     models, bins = len(fronts), s.bins + 1
     slots = []
@@ -232,18 +249,17 @@ def _level(blocks: RDD, pending: list, growing: list, fronts: list[list[int]], b
         held = [np.zeros((2, width * len(front) * bins), dtype=np.int64) for front in fronts]
         offsets = np.arange(width) * bins
         for block in packed:
-            fold, y, cells, said = pickle.loads(block)
-            for k in range(models):
-                if not fronts[k]:
-                    continue
-                rows = np.flatnonzero((fold != k) & ~np.isnan(y))
-                own = cells[rows, k]
-                slot = slots[k][_land(growing[k], own)]
-                rows, own, slot = rows[slot >= 0], own[slot >= 0], slot[slot >= 0]
-                g = np.rint((y[rows] - (base[k] + _with_trees(said[rows, k], pending[k], own))) / unit)
-                at = (slot[:, None] * width * bins + offsets + own).ravel()
-                held[k][0] += np.bincount(at, np.repeat(g, width), held[k].shape[1]).astype(np.int64)
-                held[k][1] += np.bincount(at, minlength=held[k].shape[1])
+            k, own, n, s_y, said = pickle.loads(block)
+            if not fronts[k]:
+                continue
+            slot = slots[k][_land(growing[k], own)]
+            if (slot < 0).any():
+                own, n, s_y, said, slot = (v[slot >= 0] for v in (own, n, s_y, said, slot))
+            g = s_y - n * np.rint((base[k] + said) / unit).astype(np.int64)
+            at = (slot[:, None] * width * bins + offsets + own).ravel()
+            high = g >> _LOW_BITS
+            for to, values, shift in ((0, g - (high << _LOW_BITS), 0), (0, high, _LOW_BITS), (1, n, 0)):
+                held[k][to] += np.bincount(at, np.repeat(values, width), held[k].shape[1]).astype(np.int64) << shift
         for k, both in enumerate(held):
             if fronts[k] and both[1].any():
                 both = both.reshape(2, len(fronts[k]), width, bins)
@@ -336,62 +352,74 @@ def boost(df: DataFrame, numbers: list[str], text: list[str], target: str, model
         steps.append(rows)
     borders = _borders(rows, numbers, text, target, models, s.bins, fill)
     trains = [F.when(F.col("y").isNotNull() & (F.col("fold") != k), F.round(F.col("y") / unit).cast("long")) for k in range(models)]
-    start = _binned(rows, numbers, text, target, [key], borders).withColumn("said", F.lit(bytes(8 * models)))
-    table = compact(checkpoint(start, **{f"s{k}": F.sum(t) for k, t in enumerate(trains)}, **{f"n{k}": F.count(t) for k, t in enumerate(trains)}), least=1)
+    start = _binned(rows, numbers, text, target, [key], borders)
+    table = checkpoint(start, **{f"s{k}": F.sum(t) for k, t in enumerate(trains)}, **{f"n{k}": F.count(t) for k, t in enumerate(trains)})
     release(*steps)
     seen = table.__dict__["measured"]
     base = [(seen[f"s{k}"] or 0) * unit / (seen[f"n{k}"] or 1) for k in range(models)]
-    columns = table.columns
-    schema = table.schema
 
     def stage(held: DataFrame, pending: list) -> DataFrame:
+        columns = held.columns
+
         def add(batches):
             for batch in batches:
-                for part, _, _, bins, said in _read(batch, models, width):
-                    new = np.stack([_with_trees(said[:, k], pending[k], bins[:, k]) for k in range(models)], 1)
-                    said_now = pa.array([r.tobytes() for r in new], type=pa.binary())
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns[:-1]), said_now], columns)
+                said = np.empty(batch.num_rows)
+                for k, part, bins, at in _parts(batch, width):
+                    said[at] = _with_trees(part["said"], pending[k], bins)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns[:-1]), pa.array(said)], columns)
 
-        return compact(checkpoint(held.mapInArrow(add, schema)), least=1)
+        return checkpoint(held.mapInArrow(add, held.schema))
 
+    kinds = compact(checkpoint(_kinds(table, models, width, unit)), rows=_TASK_ROWS, least=1)
     trees: list[list[Tree]] = [[] for _ in range(models)]
     pending: list[list] = [[] for _ in range(models)]
-    blocks = _blocks(table, models, width)
+    blocks, before = _blocks(kinds, width), None
     depth = s.depth if s.depth is not None else 10**9
     for made in range(1, s.rounds + 1):
         growing = [Tree() for _ in range(models)]
         fronts = [[0] for _ in range(models)]
         level = 0
         while level < depth and any(fronts):
-            found = _level(blocks, pending, [t.arrays() for t in growing], fronts, base, unit, width, s)
+            found = _level(blocks, [t.arrays() for t in growing], fronts, base, unit, width, s)
             fronts = [_grow(growing[k], fronts[k], [r for r in found if r["model"] == k], s, unit) if fronts[k] else [] for k in range(models)]
+            if before is not None:  # the job has made the blocks that follow
+                before.unpersist()
+                before = None
             level += 1
         for k in range(models):
             tree = growing[k] if s.leaves is None else _pruned(growing[k], s.leaves)
             trees[k].append(tree)
             pending[k].append(tree.arrays())
-        if made % s.staged == 0 or made == s.rounds:
-            after = stage(table, pending)
+        if made == s.rounds:
             blocks.unpersist()
-            release(table)
-            table, pending = after, [[] for _ in range(models)]
-            if made < s.rounds:
-                blocks = _blocks(table, models, width)
-
-    return _predictions(table, base, models, width, key, target), trees
+        elif made % s.staged:
+            before, blocks = blocks, _advanced(blocks, [p[-1] for p in pending])
+        else:
+            after = stage(kinds, pending)
+            blocks.unpersist()
+            release(kinds)
+            kinds, pending = after, [[] for _ in range(models)]
+            blocks = _blocks(kinds, width)
+    release(kinds)
+    return _predictions(table, [[t.arrays() for t in of_model] for of_model in trees], base, width, key, target), trees
 
 
-def _predictions(table: DataFrame, base: list[float], models: int, width: int, key: str, target: str) -> DataFrame:
+def _predictions(table: DataFrame, trees: list[list], base: list[float], width: int, key: str, target: str) -> DataFrame:
     """(key, fold, target, prediction): each row by the model that wasn't trained on its fold."""
 
     def told(batches):
         for batch in batches:
-            for part, fold, _, _, said in _read(batch, models, width):
-                value = pa.array(said[np.arange(len(said)), fold] + np.asarray(base)[fold])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (key, "fold", "y")), value], [key, "fold", target, "prediction"])
+            fold = batch.column("fold").to_numpy(zero_copy_only=False)
+            bins = np.frombuffer(b"".join(batch.column("b").to_pylist()), dtype=np.uint8).reshape(len(fold), width)
+            value = np.zeros(len(fold))
+            for k in np.unique(fold).tolist():
+                at = np.flatnonzero(fold == k)
+                value[at] = _with_trees(np.zeros(len(at)), trees[k], bins[at]) + base[k]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (key, "fold", "y")), pa.array(value)], [key, "fold", target, "prediction"])
 
     schema = table.select(key, "fold", F.col("y").alias(target), F.lit(0.0).alias("prediction")).schema
-    return table.where(F.col("fold").between(0, models - 1)).mapInArrow(told, schema)
+    asked = table.where(F.col("fold").between(0, len(trees) - 1)).withColumn("b", F.expr(f"substring(bins, fold * {width} + 1, {width})"))
+    return spread(asked.select(key, "fold", "y", "b")).mapInArrow(told, schema)
 
 
 def importances(trees: list[Tree], names: list[str]) -> dict[str, float]:

@@ -1,6 +1,7 @@
 """The booster against a plain one, a row and a cut at a time; ordered statistics against a loop."""
 
 import math
+import pickle
 import random
 
 import pytest
@@ -135,6 +136,16 @@ def test_dealing_makes_no_difference(spark, monkeypatch):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
 
 
+def test_rows_of_equal_bins_are_trained_on_as_one(spark, monkeypatch):
+    rows = [(i, i % MODELS, float(i % 7), float(i % 4), float(i % 3)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, fold int, y double, a double, b double")
+    held, level = [], boosting._level
+    monkeypatch.setattr(boosting, "_level", lambda blocks, *rest: held.append(blocks.map(lambda b: len(pickle.loads(b)[1])).sum()) or level(blocks, *rest))
+    found, _ = boosting.boost(df, ["a", "b"], [], "y", MODELS, Settings(rounds=3, rate=1.0, depth=4, staged=2), "id")
+    assert held and max(held) <= 4 * MODELS * MODELS
+    assert found.count() == len(rows)
+
+
 def test_ordered_statistics(spark):
     r = random.Random(3)
     rows = [(i, i % 4 - 1, None if i % 9 == 0 else float(r.randrange(50)), "hot" if i % 3 else r.choice(["a", "b", None])) for i in range(200)]
