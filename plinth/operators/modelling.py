@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plinth.functions.numeric import grid_key
-from plinth.operators import boosting
+from plinth.operators import boosting, forests
 from plinth.operators.ranking import quantiles, running_total
 from plinth.storage import checkpoint
 
@@ -248,6 +248,7 @@ def prepared(train: DataFrame, other: DataFrame, kind: str, features: list[str])
 
 
 _NAMES = {"maxIter": "rounds", "stepSize": "rate", "maxDepth": "depth", "minInstancesPerNode": "least", "l2": "l2"}
+_FOREST_NAMES = {"numTrees": "trees", "maxDepth": "depth", "minInstancesPerNode": "least"}
 #: Settings, how text is encoded, and whether missing numbers become medians: histogram grows trees best node first up to
 #: 31 leaves over sorted levels' codes, ordered_categories symmetric trees over ordered target statistics.
 _BOOSTERS = {
@@ -273,6 +274,10 @@ def cross_validate(df: DataFrame, kind: str, features: list[str], params: dict |
     dealt = checkpoint(df.join(group_folds(df, group, folds), group))
     if kind in _BOOSTERS:  # all folds in the same jobs
         return _boosted(dealt, kind, features, params, folds, key)[0].where(F.col(TARGET).isNotNull())
+    if kind == "forest":
+        settings = forests.Settings(**{_FOREST_NAMES[k]: v for k, v in (params or {}).items()})
+        text = categorical(dealt, features)
+        return forests.forest(dealt, [f for f in features if f not in text], text, TARGET, folds, settings, key).where(F.col(TARGET).isNotNull())
     out = None
     for k in range(folds):
         train, test, text = prepared(dealt.where(F.col("fold") != k), dealt.where(F.col("fold") == k), kind, features)
