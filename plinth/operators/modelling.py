@@ -248,7 +248,7 @@ def prepared(train: DataFrame, other: DataFrame, kind: str, features: list[str])
 
 
 _NAMES = {"maxIter": "rounds", "stepSize": "rate", "maxDepth": "depth", "minInstancesPerNode": "least", "l2": "l2"}
-_FOREST_NAMES = {"numTrees": "trees", "maxDepth": "depth", "minInstancesPerNode": "least"}
+_FOREST_NAMES = {"numTrees": "trees", "maxDepth": "depth", "minInstancesPerNode": "least", "maxBins": "bins", "seed": "seed"}
 #: Settings, how text is encoded, and whether missing numbers become medians: histogram grows trees best node first up to
 #: 31 leaves over sorted levels' codes, ordered_categories symmetric trees over ordered target statistics.
 _BOOSTERS = {
